@@ -1,36 +1,41 @@
-"""Byte-level BPE in Spark's higher-order functions: ranked merges folded over the bytes of distinct words.
+"""Byte-level BPE: Spark's higher-order functions fold ranked merges over the bytes of distinct words.
 
-encode: every text is split by the pre-tokeniser's pattern in the JVM. The distinct words of the whole corpus are counted
-(partial aggregation first); the most frequent ones, at most HOT_WORDS of HOT_BYTES, are folded once and become a
-literal word table; the words it lacks are folded where they stand, by the same expression. So no text and no position
-is ever shuffled, what tasks carry is bounded, and the result doesn't depend on which words are in the table.
+encode: the distinct words of the whole corpus are counted (partial aggregation first). Those that occur most, HOT_WORDS
+at most, are folded once and written as a word table to the shared folder. Each text is then split and looked up in
+one Arrow pass per document, which leaves gaps for words that the table lacks; those are folded where they stand, by
+the same expression. So no text and no position is ever shuffled, what a worker holds is bounded, and the result
+doesn't depend on which words are in the table.
 
 The rank map is a literal: the rank of each mergeable pair of pieces, as a perfect-hash table in one array of longs
 (displacements in another), read by position. A word starts as its bytes' pieces; the fold merges the leftmost pair of
-least rank until no pair has a rank, and looks up only the two new pairs after each merge.
+least rank until no pair has a rank, and looks up only the new pairs after each merge.
 
 decode concatenates the binary pieces of the ids.
 
-Defined cases: null and empty texts have no tokens; the pattern's classes are Unicode's; special tokens don't exist;
-repeated rows are encoded one by one; words of any length are folded (time grows with the square of a word's length).
+Defined cases: null and empty texts have no tokens (ids is the empty string); the pattern's classes are Unicode's;
+special tokens don't exist; repeated rows are encoded one by one; words of any length are folded (time grows with the
+square of a word's length); other columns pass through, one named like the output is replaced.
 """
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.classic.column import Column as ClassicColumn
 
-from .common import cut
+from .common import cut, shared_dir
 
-#: Bounds of the literal word table. Only speed depends on them.
-HOT_WORDS, HOT_BYTES = 320_000, 24
-#: Multipliers of the hash functions; a key below 2^32 times one of these stays below 2^63.
-MULTIPLIERS = (1_640_531_527, 2_147_483_629, 1_812_433_253)
+#: Bounds of the word table: words, and bytes of a word. Only speed depends on them.
+HOT_WORDS, HOT_BYTES = 1_500_000, 24
 
 
 @lru_cache(maxsize=4)
@@ -40,27 +45,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _slots(keys: np.ndarray, groups: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of keys below 2^32: group, first slot and step by multiplicative hashing (the expression in _slot does the same)."""
-    g, s, d = ((keys * m) >> 24 for m in MULTIPLIERS)
-    return g & (groups - 1), s & (slots - 1), (d & (slots - 1)) | 1
+#: Multipliers of the hash functions; a key below 2^32 times one of these stays below 2^63.
+MULTIPLIERS = (1_640_531_527, 2_147_483_629, 1_812_433_253)
 
 
-def perfect(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Displacement of each group, slot of each key, number of slots: no two keys share a slot; sizes are powers of two."""
+def perfect(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The displacement of each group and the slot of each key below 2^32; no two keys share a slot."""
     slots = 1 << max(4, int(len(keys) * 1.6).bit_length())
-    groups = max(4, slots // 8)
-    g, s, d = _slots(keys, groups, slots)
+    g, s, d = ((keys * m) >> 24 for m in MULTIPLIERS)
+    g, s, d = g & (slots // 8 - 1), s & (slots - 1), d & (slots - 1) | 1
     order = np.argsort(g, kind="stable")
-    bounds = np.searchsorted(g[order], np.arange(groups + 1))
-    used, shift, place = bytearray(slots), np.zeros(groups, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-    for group in np.argsort(-(bounds[1:] - bounds[:-1]), kind="stable"):
+    bounds = np.searchsorted(g[order], np.arange(slots // 8 + 1))
+    used, shift, place = bytearray(slots), np.zeros(slots // 8, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+    for group in np.argsort(bounds[:-1] - bounds[1:], kind="stable"):  # the fullest first
         members = order[bounds[group] : bounds[group + 1]]
-        if not len(members):
-            break
         own = list(zip(s[members].tolist(), d[members].tolist(), strict=True))
         for x in range(slots):
-            at = [(a + x * b) & (slots - 1) for a, b in own]
+            at = [(i + x * step) & (slots - 1) for i, step in own]
             if len(set(at)) == len(at) and not any(used[i] for i in at):
                 break
         else:
@@ -68,16 +69,16 @@ def perfect(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         for i in at:
             used[i] = 1
         shift[group], place[members] = x, at
-    return shift, place, slots
+    return shift, place
 
 
-def literal(spark: SparkSession, values: list, kind: str) -> Column:
-    """An array as one literal, in the row format that tasks read by position without unpacking it."""
-    row = spark.createDataFrame([(values,)], f"a array<{kind}>")._jdf.queryExecution().executedPlan().executeCollect()[0]
-    jvm = spark._jvm
-    array_type = jvm.org.apache.spark.sql.types.DataType.fromDDL(f"array<{kind}>")
-    expr = jvm.org.apache.spark.sql.catalyst.expressions.Literal(row.getArray(0), array_type)
-    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expr))
+def _literals(one_row: DataFrame) -> list[Column]:
+    """The arrays of a table of one row, each as one literal in the row format, which tasks read by position as it is."""
+    row = one_row._jdf.queryExecution().executedPlan().executeCollect()[0]
+    jvm = one_row.sparkSession._jvm
+    types = [f.dataType.simpleString() for f in one_row.schema.fields]
+    exprs = [jvm.org.apache.spark.sql.catalyst.expressions.Literal(row.getArray(i), jvm.org.apache.spark.sql.types.DataType.fromDDL(t)) for i, t in enumerate(types)]
+    return [ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(e)) for e in exprs]
 
 
 def _get(array: Column, index: Column) -> Column:
@@ -89,12 +90,6 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _slot(key: Column, shifts: Column, groups: int, slots: int) -> Column:
-    g, s, d = (F.shiftright(key * m, 24) for m in MULTIPLIERS)
-    x = _get(shifts, g.bitwiseAND(groups - 1))
-    return (s.bitwiseAND(slots - 1) + x * d.bitwiseAND(slots - 1).bitwiseOR(1)).bitwiseAND(slots - 1)
-
-
 class RankMap:
     """The literal tables of one vocabulary, and the expressions that read them."""
 
@@ -108,48 +103,38 @@ class RankMap:
                 if a is not None and b is not None:
                     pairs[a << 16 | b] = rank
         keys = np.array(list(pairs), dtype=np.int64)
-        shifts, place, self.slots = perfect(keys)
+        shifts, place = perfect(keys)
+        self.groups, self.slots = len(shifts), 8 * len(shifts)
         table = np.full(self.slots, -1, dtype=np.int64)  # key << 16 | rank in each slot
         table[place] = keys << 16 | np.array(list(pairs.values()), dtype=np.int64)
-        self.groups = len(shifts)
-        self.shifts, self.table = literal(spark, shifts.tolist(), "bigint"), literal(spark, table.tolist(), "bigint")
-        self.bytes = literal(spark, [ranks[bytes([i])] for i in range(256)], "int")
-        pieces = [None] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = token.decode("latin-1")
-        self.pieces = literal(spark, pieces, "string")
+        one_row = spark.createDataFrame([(shifts.tolist(), table.tolist(), [ranks[bytes([i])] for i in range(256)])], "a array<bigint>, b array<bigint>, c array<bigint>")
+        self.shifts, self.table, self.bytes = _literals(one_row)
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The rank of the pair of pieces a, b; null if they don't merge."""
-        key = F.shiftleft(a.cast("bigint"), 16) + b
-        return _let(key, lambda k: _let(_get(self.table, _slot(k, self.shifts, self.groups, self.slots)), lambda v: F.when(F.shiftright(v, 16) == k, v.bitwiseAND(65535).cast("int"))))
+    def ranks(self, p: Column) -> Column:
+        """Of an array of pieces: the rank of each two that stand side by side, null if they don't merge."""
+        keys = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.shiftleft(a, 16) + b)
+        part = lambda k, i, n: F.shiftright(k * MULTIPLIERS[i], 24).bitwiseAND(n - 1)
+        slot = lambda k: (part(k, 1, self.slots) + _get(self.shifts, part(k, 0, self.groups)) * part(k, 2, self.slots).bitwiseOR(1)).bitwiseAND(self.slots - 1)
+        found = F.transform(keys, lambda k: _get(self.table, slot(k)))
+        return F.zip_with(keys, found, lambda k, v: F.when(F.shiftright(v, 16) == k, v.bitwiseAND(65535)))
 
     def fold(self, word: Column) -> Column:
         """The ids (array of ints) of a string's bytes."""
-        none = F.expr("cast(array() as array<int>)")
 
         def merge(p: Column, r: Column, low: Column, at: Column) -> Column:
-            left = F.when(at > 1, F.array(self.rank(_get(p, at - 2), low))).otherwise(none)
-            right = F.when(at < F.size(r), F.array(self.rank(low, _get(p, at + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
-            )
+            near = lambda q: F.slice(q, F.greatest(at - 1, F.lit(1)), F.least(at + 1, F.lit(3)))  # noqa: E731  the new piece and its neighbours
+            merged = F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p)))
+            return _let(merged, lambda q: F.struct(q.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.when(F.size(q) < 2, F.slice(r, F.lit(1), F.lit(0))).otherwise(self.ranks(near(q))), F.slice(r, at + 2, F.size(r))).alias("r")))
 
         def step(state: Column, _: Column) -> Column:
             p, r = state["p"], state["r"]
             return _let(F.array_min(r), lambda low: F.when(low.isNull(), state).otherwise(_let(F.array_position(r, low).cast("int"), lambda at: merge(p, r, low, at))))
 
         def whole(p: Column) -> Column:
-            ranks = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), self.rank)
-            return F.when(F.size(p) < 2, p).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(p)), F.struct(p.alias("p"), ranks.alias("r")), step, lambda state: state["p"]))
+            return F.when(F.size(p) < 2, p).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(p)), F.struct(p.alias("p"), self.ranks(p).alias("r")), step, lambda state: state["p"]))
 
         chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        return _let(F.transform(chars, lambda c: _get(self.bytes, F.ascii(c))), whole)
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids: its binary pieces one after the other (each byte a Latin-1 character on the way)."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
+        return _let(F.transform(chars, lambda c: _get(self.bytes, F.ascii(c))), whole).cast("array<int>")
 
 
 def words(text: Column, pattern: str) -> Column:
@@ -157,40 +142,82 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-class WordTable:
-    """The ids of the most frequent distinct words as literal tables; other words are folded where they stand."""
+def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
+    """(word, n) over all texts."""
+    return docs.select(F.explode(words(F.col(text_col), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
-    def __init__(self, spark: SparkSession, ranks: RankMap, hot: list[tuple[str, int, list[int]]]):
-        self.ranks, self.size = ranks, len(hot)
-        if not hot:
-            return
-        keys = np.array([h & 0xFFFFFFFF for _, h, _ in hot], dtype=np.int64)
-        _, first = np.unique(keys, return_index=True)  # a key that two words share serves one of them
-        shifts, place, self.slots = perfect(keys[first])
-        texts, ids = [None] * self.slots, [None] * self.slots
-        for i, at in zip(first.tolist(), place.tolist(), strict=True):
-            texts[at], ids[at] = hot[i][0], hot[i][2]
-        self.groups, self.shifts = len(shifts), literal(spark, shifts.tolist(), "bigint")
-        self.texts, self.ids = literal(spark, texts, "string"), literal(spark, ids, "array<int>")
 
-    def encode(self, word: Column) -> Column:
-        if not self.size:
-            return self.ranks.fold(word)
-        slot = _let(F.xxhash64(word).bitwiseAND(F.lit(0xFFFFFFFF)), lambda k: _slot(k, self.shifts, self.groups, self.slots))
-        return _let(slot, lambda at: F.when(_get(self.texts, at) == word, _get(self.ids, at)).otherwise(self.ranks.fold(word)))
+def hot_part(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of counted(word, n) whose n is so high that at most `most` words have it."""
+    room, least = most, None
+    for row in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["n"]
+    return counted.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
-def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts."""
-    return docs.select(F.explode(words(F.col(text_col), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+@lru_cache(maxsize=1)
+def _table(uri: str) -> dict[str, str]:
+    """word -> ids joined by spaces, read once in each Python worker from the shared folder."""
+    import pyarrow.parquet as pq
+
+    fs, path = pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+    table: dict[str, str] = {}
+    for info in fs.get_file_info(pa.fs.FileSelector(path)):
+        if info.path.endswith(".parquet"):
+            for batch in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(columns=["word", "ids"]):
+                table.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    return table
+
+
+def _gapped(uri: str, pattern: str):
+    """An Arrow UDF: text -> ids as strings, cut at the words that the table lacks, and those words."""
+
+    @F.arrow_udf("struct<segs:array<string>,rest:array<string>>")
+    def split(texts: pa.Array) -> pa.Array:
+        table, find = _table(uri), regex.compile(pattern).findall
+        segs, rest = [], []
+        for text in texts:
+            found = find(text.as_py() or "")
+            ids = list(map(table.get, found))
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            segs.append([" ".join(ids[i:j]) for i, j in zip([0, *(i + 1 for i in gaps)], [*gaps, len(ids)], strict=True)])
+            rest.append([found[i] for i in gaps])
+        return pa.StructArray.from_arrays([pa.array(segs, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string()))], ["segs", "rest"])
 
+    return split
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", hot_words: int = HOT_WORDS) -> tuple[DataFrame, RankMap]:
-    """docs with the array of ids of each whole text in column `out`, and the rank map that decodes them."""
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", hot_words: int = HOT_WORDS) -> DataFrame:
+    """docs with the ids of each whole text, decimal and joined by one space, in column `out`."""
     spark = docs.sparkSession
     ranked = RankMap(spark, ranks)
-    hot = distinct_words(docs, pattern, text_col).where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words)
-    hot = cut(hot.select("word"), "bpe-words").repartition(max(2, spark.sparkContext.defaultParallelism))
-    folded = cut(hot.select("word", F.xxhash64("word").alias("h"), ranked.fold(F.col("word")).alias("ids")), "bpe-hot").toPandas()
-    table = WordTable(spark, ranked, list(zip(folded["word"], folded["h"].tolist(), [[int(i) for i in x] for x in folded["ids"]], strict=True)))
-    return docs.withColumn(out, F.flatten(F.transform(words(F.col(text_col), pattern), table.encode))), ranked
+    joined = lambda word: F.array_join(ranked.fold(word).cast("array<string>"), " ")
+    counted = cut(distinct_words(docs, pattern, text_col).where((F.octet_length("word") <= HOT_BYTES) & (F.col("n") > 1)), "bpe-words")
+    hot = hot_part(counted, hot_words).select("word").repartition(max(2, spark.sparkContext.defaultParallelism))
+    uri = shared_dir(spark, "bpe-table")
+    hot.select("word", joined(F.col("word")).alias("ids")).write.parquet(uri)
+    gapped = docs.withColumn("_g", _gapped(uri, pattern)(F.col(text_col)))
+    filled = F.zip_with("_g.segs", F.transform("_g.rest", joined), lambda seg, ids: F.array(seg, ids))
+    return gapped.withColumn(out, F.array_join(F.filter(F.flatten(filled), lambda x: x != ""), " ")).drop("_g")
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """encoded with the bytes of the pieces of `ids`, one after the other, in column `out`; null ids give null."""
+    pieces = {str(rank): token for token, rank in ranks.items()}
+    kept = [c for c in encoded.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(kept.index(ids))
+            found = [b"".join(map(pieces.__getitem__, x.as_py().split())) if x.is_valid else None for x in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*kept, out])
+
+    own = encoded.select(*kept)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(out, T.BinaryType())]))
+
+
+def n_ids(ids: Column) -> Column:
+    return F.when(ids == "", 0).otherwise(F.char_length(ids) - F.char_length(F.replace(ids, F.lit(" "), F.lit(""))) + 1).cast("long")

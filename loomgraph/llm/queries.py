@@ -20,13 +20,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    encoded, ranks = bpe.encode(docs, bpe.read_ranks(public_tokenizers.path(BPE_FILE)), public_tokenizers.PATTERN)
-    return encoded.select(
+    ranks = bpe.read_ranks(public_tokenizers.path(BPE_FILE))
+    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded.drop("text"), ranks).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(ranks.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        bpe.n_ids(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
