@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, ngram_join
 from .common import documents
 
 DOMAIN = "case when source = 'src0' then 'web' when length(source) = 4 then 'books' else 'forums' end"
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), WEIGHTS, BUDGET_PERCENT, EPOCHS, SEED, DOMAIN)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir), n=4, percent=85)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(BPE_FILE))
     encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -80,7 +84,7 @@ select doc_id, domain, lang, source, n_tokens, full_epochs::bigint as full_epoch
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op9_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op8_ngram_join, op9_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
