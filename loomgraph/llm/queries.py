@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join
+from . import bpe, embed_dedup, exact_dedup, mixing, ngram_join, toxicity, warc
 from .common import documents
 
 DOMAIN = "case when source = 'src0' then 'web' when length(source) = 4 then 'books' else 'forums' end"
 WEIGHTS = {"domain": {"web": 30, "books": 50, "forums": 20}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}, "source": {"src10": 3, "src1": 2}}
 BUDGET_PERCENT, EPOCHS, SEED = 60, 2, 7
+#: The share of its input's tokens that the pipeline's mixture asks for.
+PIPELINE_PERCENT = 80
 BPE_FILE = "byte_bpe_50k.tiktoken"
 
 
@@ -19,6 +21,19 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), WEIGHTS, BUDGET_PERCENT, EPOCHS, SEED, DOMAIN)
 
 
+def op2_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embed_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir), n=4, percent=85)
 
@@ -84,7 +99,7 @@ select doc_id, domain, lang, source, n_tokens, full_epochs::bigint as full_epoch
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op8_ngram_join, op9_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc_normalise, op3_embed_dedup, op4_toxicity, op8_ngram_join, op9_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
