@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, mixing, ngram_join, toxicity, warc
+from . import bpe, embed_dedup, exact_dedup, license_scan, mixing, ngram_join, sentence_spans, toxicity, url_filter, warc
 from .common import documents
 
 DOMAIN = "case when source = 'src0' then 'web' when length(source) = 4 then 'books' else 'forums' end"
@@ -14,6 +14,7 @@ WEIGHTS = {"domain": {"web": 30, "books": 50, "forums": 20}, "lang": {"en": 50,
 BUDGET_PERCENT, EPOCHS, SEED = 60, 2, 7
 #: The share of its input's tokens that the pipeline's mixture asks for.
 PIPELINE_PERCENT = 80
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 BPE_FILE = "byte_bpe_50k.tiktoken"
 
 
@@ -34,6 +35,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = sentence_spans.sentence_dedup(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_sentences", "n_removed", "words_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir), n=4, percent=85)
 
@@ -99,7 +113,7 @@ select doc_id, domain, lang, source, n_tokens, full_epochs::bigint as full_epoch
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc_normalise, op3_embed_dedup, op4_toxicity, op8_ngram_join, op9_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc_normalise, op3_embed_dedup, op4_toxicity, op5_url_filter, op6_license_scan, op7_sentence_spans, op8_ngram_join, op9_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
