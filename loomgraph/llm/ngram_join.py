@@ -2,8 +2,9 @@
 
 Sets are the distinct n-word shingles of whole texts (64-bit hashes) in one global order: by hash, but with shingles that
 many prefixes hold last. Two sets that are similar enough share a shingle in their prefixes, so only shingles that stand
-in two prefixes bring sets together. Sets so joined, directly or by a chain, form a candidate group; a group's sets are
-stored in one trie, in which each probe shares the overlap of a common path and cuts a subtree when its sizes, or
+in two prefixes bring sets together. Pairs whose prefixes share too little for the threshold are dropped; sets that the
+others join, directly or by a chain, form a candidate group (a shingle in very many prefixes joins all its sets). A group's
+sets are stored in one trie, in which each probe shares the overlap of a common path and cuts a subtree when its sizes, or
 the lengths that remain, can't reach the threshold any more, or when it is linked to the probe already.
 
 Skew: equal sets are one set. A group is bounded in a task by BLOCK shingles; a larger one is dealt into blocks that share
@@ -22,17 +23,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, remove, shared_dir
 from .components import components
 from .shingles import WordHashes, lists, shingles
 
 #: A shingle in more prefixes than HOT goes to the end of the order; MOST_HOT of them are told apart. Only speed depends on it.
 HOT, MOST_HOT = 64, 100_000
+#: Prefixes in which shingles are counted, as a multiple of those that are joined, which reach further without the hot ones.
+AHEAD = 2
 #: Shingles of the sets in one task, and anchor sets that all blocks of a large group share.
-BLOCK, ANCHORS = 1_000_000, 64
+BLOCK, ANCHORS = 3_000_000, 64
+#: Partners of one set in a task, where pairs are looked at one by one.
+FAN = 256
+
+
+#: A side of a join is broadcast only if it has at most so many rows.
+FEW = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if a count shows that they are few."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
 
 def in_order(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -140,29 +154,29 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, hot: n
     return out
 
 
-def _sets(docs: DataFrame, n: int, percent: int, hot: np.ndarray, keep: str, whole: bool) -> DataFrame:
-    """docs(id, text, ..) -> the columns `keep`, n_shingles, a 128-bit digest of the set, and its prefix or the whole set."""
-    names = keep.split(", ")
-    fields = [docs.schema[c] for c in names]
+def _prefixes(docs: DataFrame, n: int, percent: int, hot: np.ndarray, times: int = 1) -> DataFrame:
+    """docs(id, text) -> id, n_shingles, a 128-bit digest of the set, and its first elements: `times` its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets = [shingles(t.as_py(), n, known) for t in batch.column(0)]
-            sums = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            halves = np.frombuffer(b"".join(sums), dtype=np.int64).reshape(-1, 2)
-            sets = [in_order(s, hot) for s in sets]
-            shown = sets if whole else [s[: prefix_length(len(s), percent)] for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists(shown, pa.int64())], [*names, "n_shingles", "d1", "d2", "elements"])
+            sets = [shingles(t.as_py(), n, known) for t in batch.column(1)]
+            sums = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
+            halves = np.frombuffer(sums, dtype=np.int64).reshape(-1, 2)
+            shown = [in_order(s, hot)[: times * prefix_length(len(s), percent)] for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists(shown, pa.int64())], ["id", "n_shingles", "d1", "d2", "elements"])
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "n_shingles long, d1 long, d2 long, elements array<long>"])
-    return docs.select(F.col("text").cast("binary"), *names).mapInArrow(run, schema)
+    return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, elements array<long>")
 
 
-def _joined(rows: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
-    """rows(task, id, elements, label, probe) -> links (a, b) within each task, read as a sorted stream."""
+def _joined(rows: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
+    """rows(task, id, text, label, probe) -> links (a, b) within each task, read as a sorted stream.
+
+    Texts are what is shuffled: they take less room than their sets of hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         task, ids, sets, label, probe = None, [], [], [], []
 
         def flush():
@@ -174,24 +188,45 @@ def _joined(rows: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
 
         for batch in batches:
             out_a, out_b = [], []
-            for t, i, e, c, p in zip(*(batch.column(k) for k in range(5)), strict=True):
+            for t, i, text, c, p in zip(*(batch.column(k) for k in range(5)), strict=True):
                 if t.as_py() != task:
                     a, b = flush()
                     out_a += a
                     out_b += b
                     task, ids, sets, label, probe = t.as_py(), [], [], [], []
-                if ids and ids[-1] == i.as_py():  # a repeated row
+                if ids and ids[-1] == i.as_py():  # a repeated row; one that probes comes last
+                    probe[-1] |= p.as_py()
                     continue
                 ids.append(i.as_py())
-                sets.append(e.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                sets.append(in_order(shingles(text.as_py(), n, known), hot))
                 label.append(c.as_py())
                 probe.append(p.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
         a, b = flush()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "id")
-    return rows.select("task", "id", "elements", "label", "probe").mapInArrow(run, "a long, b long")
+    rows = rows.select("task", "id", F.col("text").cast("binary"), "label", "probe").repartition(partitions(rows.sparkSession), "task")
+    return rows.sortWithinPartitions("task", "id").mapInArrow(run, "a long, b long")
+
+
+def _promising(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of sets whose prefixes still allow the threshold, from entries(e, id, n, i) with HOT rows of an e at most.
+
+    i is the place of e in the set. Behind the last shared element, at most what remains of either set is shared.
+    """
+    one = entries.select("e", F.col("id").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"))
+    two = entries.select("e", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))
+    both = one.join(two, "e").where(f"a < b and least(an, bn) * 100L >= greatest(an, bn) * {percent}L")
+    both = both.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("shared"), F.max("ai").alias("ai"), F.max("bi").alias("bi"))
+    return both.where(f"(shared + least(an - ai, bn - bi) - 1) * {100 + percent}L >= {percent}L * (an + bn)").select("a", "b")
+
+
+def _sized(meet: DataFrame, sizes: DataFrame) -> tuple[DataFrame, bool]:
+    """Sets that meet(a, b) joins: id, n, grp, members and number of blocks of the group; whether any has several blocks."""
+    groups = components(meet.select("a", "b")).withColumnRenamed("node", "id").withColumnRenamed("component", "grp")
+    groups = cut(groups.join(sizes, "id"), "join-groups")
+    sums = cut(groups.groupBy("grp").agg(F.expr(f"(sum(n) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.count("*").alias("members")), "join-sums")
+    return groups.join(sums, "grp").select("id", "n", "grp", "blocks", "members"), sums.where("blocks > 1").limit(1).count() > 0
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,45 +234,65 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     none = np.empty(0, dtype=np.uint64)
-    first = cut(_sets(docs, n, percent, none, "id", False), "join-sets")
-    own = first.select("id", "n_shingles", "d1", "d2")
+    folder = shared_dir(spark, "join-sets")
+    _prefixes(docs, n, percent, none, AHEAD).write.parquet(folder)
+    first = spark.read.parquet(folder)
+    own = cut(first.select("id", "n_shingles", "d1", "d2"), "join-digests")
     equal = own.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     common = first.select(F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
     hot = np.sort(np.array([r["e"] for r in common.orderBy(F.desc("c"), "e").limit(MOST_HOT).collect()], dtype=np.int64).view(np.uint64))
-    prefixes = first if not len(hot) else cut(_sets(docs, n, percent, hot, "id", False), "join-prefixes")
-    # what brings sets together: elements in the prefixes of two different sets
-    entries = prefixes.join(equal.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("elements").alias("e"))
-    shared = entries.groupBy("e").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("e", "least")
-    groups = cut(components(cut(entries.join(shared, "e").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "join-meet")), "join-groups")
-    asked = cut(groups.withColumnRenamed("node", "id").withColumnRenamed("component", "grp").join(own.groupBy("id").agg(F.max("n_shingles").alias("n")), "id"), "join-asked")
-    sums = asked.groupBy("grp").agg(F.expr(f"(sum(n) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.count("*").alias("members"))
-    asked = asked.join(sums, "grp")
-    sets = cut(_sets(docs.join(asked, "id"), n, percent, hot, "id, grp, blocks, members", True).dropDuplicates(["id"]), "join-members")
+    remove(spark, folder)
+    folder = shared_dir(spark, "join-prefixes")
+    _prefixes(docs, n, percent, hot).write.parquet(folder)
+    # what brings sets together: elements in the prefixes of two sets
+    reps = few(equal.select(F.col("rep").alias("id")))
+    packed = F.shiftleft(F.col("n_shingles"), 32)
+    entries = spark.read.parquet(folder).join(reps, "id", "left_semi").select("id", packed.alias("n"), F.posexplode("elements").alias("i", "e")).select("e", "id", (F.col("n") + F.col("i")).alias("at"))
+    last = F.broadcast(spark.createDataFrame([(int(e),) for e in hot.view(np.int64)], "e long"))  # MOST_HOT rows at most
+    often = entries.join(last, "e", "left_semi").select("id", "e")
+    stars = often.join(F.broadcast(often.groupBy("e").agg(F.min("id").alias("least"))), "e").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    whole = Window.partitionBy("e")
+    rest = entries.join(last, "e", "left_anti").repartition(partitions(spark), "e").withColumn("c", F.count("*").over(whole)).withColumn("least", F.min("id").over(whole))
+    rest = cut(rest.where("c > 1").select("e", "id", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("i"), "c", "least"), "join-entries")
+    stars = stars.unionByName(rest.where(F.col("c") > HOT).select(F.col("least").alias("a"), F.col("id").alias("b"))).where("a <> b")
+    pairs = _promising(rest.where(F.col("c") <= HOT).select("e", "id", "n", "i"), percent)
+    meet = cut(stars.distinct().withColumn("star", F.lit(True)).unionByName(pairs.withColumn("star", F.lit(False))), "join-meet")
+    remove(spark, folder)
+    sizes = own.groupBy("id").agg(F.max("n_shingles").alias("n"))
+    asked, large = _sized(meet, sizes)
+    whole_groups = asked.where("blocks = 1").select("id", F.concat(F.lit("g"), "grp").alias("task"), F.col("id").alias("label"), F.lit(False).alias("probe"))
+    if large:
+        # of groups too large for a task, the sets that hot shingles join are grouped again; other pairs are looked at one by one
+        part = meet.join(asked.where("blocks > 1").select(F.col("id").alias("a")), "a", "left_semi")
+        asked, large = _sized(part.where("star"), sizes)
+        first_of = part.where("not star").select("a", F.col("b").alias("id"), F.concat_ws(":", F.lit("p"), "a", F.pmod(F.xxhash64("b"), F.expr(f"count(*) over (partition by a) div {FAN} + 1"))).alias("task"))
+        probing = first_of.select("task", F.col("a").alias("id")).distinct().withColumn("probe", F.lit(True))
+        whole_groups = whole_groups.unionByName(first_of.select("task", "id").withColumn("probe", F.lit(False)).unionByName(probing).withColumn("label", F.col("id")))
+    else:
+        asked = asked.where("blocks > 1")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     anchor = F.pmod(F.xxhash64("id", F.lit(1)), F.expr(f"members div {ANCHORS} + 1")) == 0
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    tasks = sets.select("id", "elements", "grp", F.explode(F.when(anchor, everywhere).otherwise(F.array(block))).alias("block"))
-    tasks = tasks.select(F.concat_ws(":", "grp", "block").alias("task"), "id", "elements", F.col("id").alias("label"), F.lit(False).alias("probe"))
-    links = cut(_joined(tasks, percent, hot), "join-links")
+    tasks = asked.select("id", F.explode(F.when(anchor, everywhere).otherwise(F.array(block))).alias("block"), "grp")
+    tasks = tasks.select("id", F.concat_ws(":", "grp", "block").alias("task"), F.col("id").alias("label"), F.lit(False).alias("probe"))
+    tasks = cut(tasks.unionByName(whole_groups), "join-tasks")
+    links = cut(_joined(docs.join(few(tasks), "id"), n, percent, hot), "join-links")
     classes = components(links)
-    large = sets.where("blocks > 1")
-    if large.limit(1).count():
-        placed = large.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-        placed = cut(placed.select("id", "grp", "blocks", "n_shingles", "elements", "label"), "join-placed")
-        sizes = placed.groupBy("grp", "label").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("grp").agg(F.max_by("label", "c").alias("main"))
+    if large:
+        # what is still outside the largest class of a large group meets every block of the group
+        placed = cut(asked.where("blocks > 1").join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "grp", "blocks", F.coalesce("component", "id").alias("label")), "join-large")
+        main = placed.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("label", "c").alias("main"))
         placed = placed.join(main, "grp")
         outside = placed.where("label <> main")
-        chunks = outside.groupBy("grp").agg(F.expr(f"(sum(n_shingles) + {BLOCK - 1}) div {BLOCK}").alias("chunks"))
+        chunks = outside.groupBy("grp").agg(F.expr(f"(sum(n) + {BLOCK - 1}) div {BLOCK}").alias("chunks"))
         placed, outside = placed.join(chunks, "grp"), outside.join(chunks, "grp")
         chunk = F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks"))
         several = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-        row = lambda df, b, c, probe: df.select("grp", b.alias("b"), c.alias("c"), "id", "elements", "label", F.lit(probe).alias("probe"))
+        row = lambda df, b, c, probe: df.select(F.concat_ws(":", "grp", b, c).alias("task"), "id", "label", F.lit(probe).alias("probe"))
         stored = row(placed.withColumn("c", F.explode(several)), block, F.col("c"), False)
         probing = row(outside.withColumn("b", F.explode(everywhere)), F.col("b"), chunk, True)
-        both = stored.unionByName(probing).groupBy("grp", "b", "c", "id").agg(F.first("elements").alias("elements"), F.first("label").alias("label"), F.max("probe").alias("probe"))
-        tasks = both.select(F.concat_ws(":", "grp", "b", "c").alias("task"), "id", "elements", "label", "probe")
-        classes = components(links.unionByName(cut(_joined(tasks, percent, hot), "join-more-links")))
+        tasks = stored.unionByName(probing).groupBy("task", "id").agg(F.first("label").alias("label"), F.max("probe").alias("probe"))
+        classes = components(links.unionByName(cut(_joined(docs.join(few(cut(tasks, "join-probes")), "id"), n, percent, hot), "join-more-links")))
     found = own.join(equal, ["d1", "d2"], "left").join(classes, F.col("rep") == F.col("node"), "left")
     return found.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
 
