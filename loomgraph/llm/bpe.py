@@ -35,7 +35,7 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 from .common import cut, shared_dir
 
 #: Bounds of the word table: words, and bytes of a word. Only speed depends on them.
-HOT_WORDS, HOT_BYTES = 1_500_000, 24
+HOT_WORDS, HOT_BYTES = 800_000, 24
 
 
 @lru_cache(maxsize=4)
@@ -105,33 +105,35 @@ class RankMap:
         keys = np.array(list(pairs), dtype=np.int64)
         shifts, place = perfect(keys)
         self.groups, self.slots = len(shifts), 8 * len(shifts)
-        table = np.full(self.slots, -1, dtype=np.int64)  # key << 16 | rank in each slot
+        table = np.full(self.slots, 1 << 62, dtype=np.int64)  # key << 16 | rank in each slot, or what no key gives
         table[place] = keys << 16 | np.array(list(pairs.values()), dtype=np.int64)
         one_row = spark.createDataFrame([(shifts.tolist(), table.tolist(), [ranks[bytes([i])] for i in range(256)])], "a array<bigint>, b array<bigint>, c array<bigint>")
         self.shifts, self.table, self.bytes = _literals(one_row)
 
-    def ranks(self, p: Column) -> Column:
-        """Of an array of pieces: the rank of each two that stand side by side, null if they don't merge."""
-        keys = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.shiftleft(a, 16) + b)
-        part = lambda k, i, n: F.shiftright(k * MULTIPLIERS[i], 24).bitwiseAND(n - 1)
-        slot = lambda k: (part(k, 1, self.slots) + _get(self.shifts, part(k, 0, self.groups)) * part(k, 2, self.slots).bitwiseOR(1)).bitwiseAND(self.slots - 1)
-        found = F.transform(keys, lambda k: _get(self.table, slot(k)))
-        return F.zip_with(keys, found, lambda k, v: F.when(F.shiftright(v, 16) == k, v.bitwiseAND(65535)))
+    def rank(self, a: Column, b: Column) -> Column:
+        """The rank of the pair of pieces a, b; a number above 65,535 if they don't merge."""
+        k = F.shiftleft(a, 16) + b
+        part = lambda i, n: F.shiftright(k * MULTIPLIERS[i], 24).bitwiseAND(n - 1)
+        slot = (part(1, self.slots) + _get(self.shifts, part(0, self.groups)) * part(2, self.slots).bitwiseOR(1)).bitwiseAND(self.slots - 1)
+        return _get(self.table, slot).bitwiseXOR(F.shiftleft(k, 16))
 
     def fold(self, word: Column) -> Column:
         """The ids (array of ints) of a string's bytes."""
+        none = F.expr("cast(array() as array<bigint>)")
 
         def merge(p: Column, r: Column, low: Column, at: Column) -> Column:
-            near = lambda q: F.slice(q, F.greatest(at - 1, F.lit(1)), F.least(at + 1, F.lit(3)))  # noqa: E731  the new piece and its neighbours
-            merged = F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p)))
-            return _let(merged, lambda q: F.struct(q.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.when(F.size(q) < 2, F.slice(r, F.lit(1), F.lit(0))).otherwise(self.ranks(near(q))), F.slice(r, at + 2, F.size(r))).alias("r")))
+            left = F.when(at > 1, F.array(self.rank(_get(p, at - 2), low))).otherwise(none)
+            right = F.when(at < F.size(r), F.array(self.rank(low, _get(p, at + 1)))).otherwise(none)
+            pieces = F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p)))
+            return F.struct(pieces.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"))
 
         def step(state: Column, _: Column) -> Column:
             p, r = state["p"], state["r"]
-            return _let(F.array_min(r), lambda low: F.when(low.isNull(), state).otherwise(_let(F.array_position(r, low).cast("int"), lambda at: merge(p, r, low, at))))
+            return _let(F.array_min(r), lambda low: F.when(F.coalesce(low > 65535, F.lit(True)), state).otherwise(_let(F.array_position(r, low).cast("int"), lambda at: merge(p, r, low, at))))
 
         def whole(p: Column) -> Column:
-            return F.when(F.size(p) < 2, p).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(p)), F.struct(p.alias("p"), self.ranks(p).alias("r")), step, lambda state: state["p"]))
+            ranks = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), self.rank)
+            return F.when(F.size(p) < 2, p).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(p)), F.struct(p.alias("p"), ranks.alias("r")), step, lambda state: state["p"]))
 
         chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
         return _let(F.transform(chars, lambda c: _get(self.bytes, F.ascii(c))), whole).cast("array<int>")
