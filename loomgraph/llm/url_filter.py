@@ -2,7 +2,7 @@
 
 Two variable-order Markov models, of accepted and of rejected URLs, are counted over all URLs whose class is known from
 seed terms in the host: every run of 1 to ORDER + 1 characters of `host path`, by partial aggregation. A character's
-probability is interpolated from the longest context that was seen down to the uniform one (Witten-Bell). A URL's score is
+probability is interpolated from the longest context that was seen down to the uniform one (Witten-Bell weights). A URL's score is
 the log-likelihood of the rejected model less that of the accepted one, divided by its length. The threshold is
 calibrated on held-back accepted URLs, so that at most FALSE_BLOCKS of them would be blocked.
 
@@ -60,12 +60,20 @@ def count_runs(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Counts of runs of one class, as probabilities."""
+    """Counts of runs of one class, as probabilities.
+
+    The longest runs count by occurrences, shorter ones by the different characters before them, so that a surprise
+    behind a familiar context costs once and not at each length.
+    """
 
     def __init__(self, runs: dict[str, int], alphabet: int):
-        self.runs, self.alphabet = runs, alphabet
+        self.alphabet = alphabet
+        self.runs = {run: n for run, n in runs.items() if len(run) > ORDER}
+        for run in runs:
+            if len(run) > 1:
+                self.runs[run[1:]] = self.runs.get(run[1:], 0) + 1
         self.after: dict[str, list[int]] = {}  # context -> tokens, types
-        for run, n in runs.items():
+        for run, n in self.runs.items():
             t = self.after.setdefault(run[:-1], [0, 0])
             t[0] += n
             t[1] += 1
