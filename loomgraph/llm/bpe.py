@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.classic.column import Column as ClassicColumn
 
 from .common import cut, shared_dir
+from .shingles import sliced
 
 #: Bounds of the word table: words, and bytes of a word. Only speed depends on them.
 HOT_WORDS, HOT_BYTES = 800_000, 24
@@ -160,9 +161,8 @@ def hot_part(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
-@lru_cache(maxsize=1)
 def _table(uri: str) -> dict[str, str]:
-    """word -> ids joined by spaces, read once in each Python worker from the shared folder."""
+    """word -> ids joined by spaces, from the shared folder; a task holds it no longer than it runs."""
     import pyarrow.parquet as pq
 
     fs, path = pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
@@ -174,22 +174,25 @@ def _table(uri: str) -> dict[str, str]:
     return table
 
 
-def _gapped(uri: str, pattern: str):
-    """An Arrow UDF: text -> ids as strings, cut at the words that the table lacks, and those words."""
+def _gapped(docs: DataFrame, uri: str, pattern: str, text_col: str) -> DataFrame:
+    """docs with `_g`: the ids of each text as strings, cut at the words that the table lacks, and those words."""
+    names = docs.columns
 
-    @F.arrow_udf("struct<segs:array<string>,rest:array<string>>")
-    def split(texts: pa.Array) -> pa.Array:
-        table, find = _table(uri), regex.compile(pattern).findall
-        segs, rest = [], []
-        for text in texts:
-            found = find(text.as_py() or "")
-            ids = list(map(table.get, found))
-            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            segs.append([" ".join(ids[i:j]) for i, j in zip([0, *(i + 1 for i in gaps)], [*gaps, len(ids)], strict=True)])
-            rest.append([found[i] for i in gaps])
-        return pa.StructArray.from_arrays([pa.array(segs, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string()))], ["segs", "rest"])
-
-    return split
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, find = None, regex.compile(pattern).findall
+        for batch in sliced(batches):
+            table = _table(uri) if table is None else table
+            segs, rest = [], []
+            for text in batch.column(names.index(text_col)):
+                found = find(text.as_py() or "")
+                ids = list(map(table.get, found))
+                gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+                segs.append([" ".join(ids[i:j]) for i, j in zip([0, *(i + 1 for i in gaps)], [*gaps, len(ids)], strict=True)])
+                rest.append([found[i] for i in gaps])
+            g = pa.StructArray.from_arrays([pa.array(segs, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string()))], ["segs", "rest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, g], [*names, "_g"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string("_g struct<segs:array<string>,rest:array<string>>").fields]))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", hot_words: int = HOT_WORDS) -> DataFrame:
@@ -201,8 +204,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     hot = hot_part(counted, hot_words).select("word").repartition(max(2, spark.sparkContext.defaultParallelism))
     uri = shared_dir(spark, "bpe-table")
     hot.select("word", joined(F.col("word")).alias("ids")).write.parquet(uri)
-    gapped = docs.withColumn("_g", _gapped(uri, pattern)(F.col(text_col)))
     filled = F.zip_with("_g.segs", F.transform("_g.rest", joined), lambda seg, ids: F.array(seg, ids))
+    gapped = _gapped(docs.drop(out), uri, pattern, text_col)
     return gapped.withColumn(out, F.array_join(F.filter(F.flatten(filled), lambda x: x != ""), " ")).drop("_g")
 
 
@@ -212,7 +215,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: s
     kept = [c for c in encoded.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(kept.index(ids))
             found = [b"".join(map(pieces.__getitem__, x.as_py().split())) if x.is_valid else None for x in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*kept, out])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, remove, shared_dir
 from .components import components
-from .shingles import WordHashes, lists, shingles
+from .shingles import WordHashes, lists, shingles, sliced
 
 #: A shingle in more prefixes than HOT goes to the end of the order; MOST_HOT of them are told apart. Only speed depends on it.
 HOT, MOST_HOT = 64, 100_000
@@ -159,7 +159,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, hot: np.ndarray, times: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t.as_py(), n, known) for t in batch.column(1)]
             sums = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
             halves = np.frombuffer(sums, dtype=np.int64).reshape(-1, 2)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import WordHashes, hashed, lists, stir, words_of
+from .shingles import WordHashes, hashed, lists, sliced, stir, words_of
 
 BITS = 20
 #: Most rows of each class that the model is fitted on.
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs:
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [np.unique(features(t.as_py(), known)) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(found, pa.int32()), batch.column(1)], ["h", "x", "y"])
 
