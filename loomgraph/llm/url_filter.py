@@ -1,30 +1,32 @@
 """URL filter: host and path rules first, then a character language-model ratio.
 
 Two variable-order Markov models, of accepted and of rejected URLs, are counted over all URLs whose class is known from
-seed terms in the host: every run of 1 to ORDER + 1 characters of `host path`, by partial aggregation. A character's
-probability is interpolated from the longest context that was seen down to the uniform one (Witten-Bell weights). A URL's score is
-the log-likelihood of the rejected model less that of the accepted one, divided by its length. The threshold is
-calibrated on held-back accepted URLs, so that at most FALSE_BLOCKS of them would be blocked.
+seed terms in the host: every window of ORDER + 1 characters of `host path` by partial aggregation, and every shorter
+run by the different characters seen before it. A character's probability is interpolated from the longest context that was
+seen down to the uniform one (Witten-Bell weights). A URL's score is the log-likelihood of the rejected model less that of
+the accepted one, divided by its length. The threshold is calibrated on held-back accepted URLs, so that about
+FALSE_BLOCKS of them at most would be blocked.
 
-The models are broadcast: the MOST_RUNS commonest runs at most, each of ORDER + 1 characters at most; a run beyond that only
-makes its context shorter.
+The models are tables, one for each order, that hold every run of the corpus: each order is joined with the one below by
+the run's suffix, and the windows of the URLs with the longest order. Nothing of them is broadcast by this module, collected or
+capped. A window that a third of all URLs hold is one row of the models; the join with it can be split by Spark. Log ratios are
+summed as whole numbers (SCALE), so that a score doesn't depend on the order of the rows.
 
 Defined cases: a null url, or one without `://`, has empty host and path and is allowed unless a rule fits; equal urls get
 equal verdicts; without URLs of both classes the method allows everything; an empty table gives an empty result;
-extra columns are left alone.
+extra columns are left alone; repeated rows are judged one by one.
 """
 
 from __future__ import annotations
 
 import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, cut
 
-ORDER, MOST_RUNS, FALSE_BLOCKS = 5, 400_000, 0.002
+ORDER, FALSE_BLOCKS, SCALE = 5, 0.002, 1 << 32
 #: Host words that mark a URL as one to reject when the models are fitted.
 SEEDS = ["adult", "ads", "bets", "bet", "casino", "farm", "pills", "poker", "porn", "spam", "tracker", "track", "viagra", "xxx"]
 
@@ -52,92 +54,70 @@ def _text(host: Column, path: Column) -> Column:
     return F.concat(F.lit("^" * ORDER), host, F.lit(" "), path, F.lit("$"))
 
 
-def count_runs(rows: DataFrame) -> DataFrame:
-    """(cls, run, n) of rows(cls, text): all runs of 1 to ORDER + 1 characters that end behind the start mark."""
-    ends = F.sequence(F.lit(ORDER + 1), F.char_length("text"))
-    runs = F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(0), F.lit(ORDER)), lambda k: F.substring(F.col("text"), e - k, k + 1))))
-    return rows.select("cls", F.explode(runs).alias("run")).groupBy("cls", "run").agg(F.count("*").alias("n"))
+def _windows(text: Column) -> Column:
+    """The runs of ORDER + 1 characters of a text, one for each character behind the start mark."""
+    return F.transform(F.sequence(F.lit(1), F.char_length(text) - ORDER), lambda i: F.substring(text, i, ORDER + 1))
 
 
-class Model:
-    """Counts of runs of one class, as probabilities.
+def count_runs(rows: DataFrame) -> list[DataFrame]:
+    """For each length from 1 to ORDER + 1: (run, a, r) of all runs of rows(text, cls), with the counts of class 0 and of class 1.
 
-    The longest runs count by occurrences, shorter ones by the different characters before them, so that a surprise
-    behind a familiar context costs once and not at each length.
+    Windows count by occurrence, shorter runs by the different characters before them, so that a surprise behind a familiar
+    context costs once and not at each length. Rows whose cls is null count as none, but their runs are listed.
     """
-
-    def __init__(self, runs: dict[str, int], alphabet: int):
-        self.alphabet = alphabet
-        self.runs = {run: n for run, n in runs.items() if len(run) > ORDER}
-        for run in runs:
-            if len(run) > 1:
-                self.runs[run[1:]] = self.runs.get(run[1:], 0) + 1
-        self.after: dict[str, list[int]] = {}  # context -> tokens, types
-        for run, n in self.runs.items():
-            t = self.after.setdefault(run[:-1], [0, 0])
-            t[0] += n
-            t[1] += 1
-
-    def log_likelihood(self, text: str) -> float:
-        total = 0.0
-        for e in range(ORDER, len(text)):
-            p = 1.0 / self.alphabet
-            for k in range(ORDER + 1):
-                seen = self.after.get(text[e - k : e])
-                if seen is None:
-                    break
-                p = (self.runs.get(text[e - k : e + 1], 0) + seen[1] * p) / (seen[0] + seen[1])
-            total += math.log(p)
-        return total
-
-
-def score(models: tuple[dict, dict, int], spark, text: Column) -> Column:
-    """Rejected less accepted log-likelihood for each character of the text."""
-    shared = spark.sparkContext.broadcast(models)
-
-    @F.arrow_udf("double")
-    def ratio(texts: pa.Array) -> pa.Array:
-        accepted, rejected = _models(shared)
-        return pa.array([(rejected.log_likelihood(x) - accepted.log_likelihood(x)) / max(1, len(x) - ORDER) for x in texts.to_pylist()], pa.float64())
-
-    return ratio(text)
-
-
-def _models(shared, kept={}) -> tuple[Model, Model]:  # noqa: B006  one pair of models for each broadcast and worker
-    if shared not in kept:
-        kept.clear()
-        a, r, size = shared.value
-        kept[shared] = (Model(a, size), Model(r, size))
-    return kept[shared]
-
-
-def fit(rows: DataFrame, seeds: list[str] = SEEDS) -> tuple[tuple[dict, dict, int] | None, float]:
-    """Models and threshold from rows(host, path); None if a class has no row."""
-    spark = rows.sparkSession
-    cls = F.when(F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, seeds))), 1).otherwise(0)
-    rows = rows.where("host <> ''").select(cls.alias("cls"), _text(F.col("host"), F.col("path")).alias("text")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(10)))
-    counts = count_runs(rows.where("fold > 0"))
-    models: list[dict] = []
-    for k in (0, 1):
-        top = counts.where(F.col("cls") == k).orderBy(F.desc("n"), "run").limit(MOST_RUNS)
-        models.append({r["run"]: r["n"] for r in top.toLocalIterator()})
-    if not all(models):
+    windows = rows.select(F.explode(_windows(F.col("text"))).alias("run"), "cls")
+    counts = [windows.groupBy("run").agg(F.count_if(F.col("cls") == 0).alias("a"), F.count_if(F.col("cls") == 1).alias("r"))]
+    for _ in range(ORDER):
+        counts[0] = cut(counts[0], "url-runs")
+        shorter = counts[0].groupBy(F.substring("run", 2, ORDER).alias("run"))
+        counts.insert(0, shorter.agg(F.count_if(F.col("a") > 0).alias("a"), F.count_if(F.col("r") > 0).alias("r")))
+    counts[0] = cut(counts[0], "url-runs")
+    return counts
+
+
+def log_ratios(counts: list[DataFrame], alphabet: int) -> DataFrame:
+    """(run, ratio) of the longest runs: the log of the rejected model's probability of the last character less the accepted one's."""
+    p = None
+    for k, level in enumerate(counts):
+        # one row for each character that follows a context
+        seen = level.withColumn("context", F.substring("run", 1, k))
+        sums = seen.groupBy("context").agg(*[f(c).alias(f"{c}_{n}") for c in "ar" for n, f in (("tokens", F.sum), ("types", lambda c: F.count_if(F.col(c) > 0)))])
+        seen = seen.join(sums, "context")
+        if p is None:
+            seen = seen.withColumns({f"p_{c}": F.lit(1.0 / alphabet) for c in "ar"})
+        else:
+            seen = seen.withColumn("suffix", F.substring("run", 2, k)).join(p.withColumnRenamed("run", "suffix"), "suffix")
+        mixed = lambda c: F.when(F.col(f"{c}_types") > 0, (F.col(c) + F.col(f"{c}_types") * F.col(f"p_{c}")) / (F.col(f"{c}_tokens") + F.col(f"{c}_types"))).otherwise(F.col(f"p_{c}"))
+        p = cut(seen.select("run", *[mixed(c).alias(f"p_{c}") for c in "ar"]), "url-model")
+    return p.select("run", F.log(F.col("p_r") / F.col("p_a")).alias("ratio"))
+
+
+def score(rows: DataFrame, seeds: list[str] = SEEDS) -> tuple[DataFrame | None, float]:
+    """(row, score) of rows(row, host, path), and the threshold; None if a class has no row."""
+    terms = F.when(F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, seeds))), 1).otherwise(0)
+    rows = rows.withColumn("text", _text(F.col("host"), F.col("path"))).withColumn("cls", F.when(F.col("host") != "", terms)).withColumn("back", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
+    counts = count_runs(rows.select("text", F.when(~F.col("back"), F.col("cls")).alias("cls")))
+    n, a, r = counts[0].agg(F.count("*"), F.sum("a"), F.sum("r")).first()
+    if not a or not r:
         return None, math.inf
-    found = (models[0], models[1], len({c for m in models for run in m for c in run}) + 1)
-    back = rows.where("fold = 0 and cls = 0").select(score(found, spark, F.col("text")).alias("s"))
-    edge = back.agg(F.percentile_approx("s", 1 - FALSE_BLOCKS, 10_000)).first()[0]
-    return found, max(0.0, edge) if edge is not None else 0.0
+    ratios = log_ratios(counts, n + 1).select("run", F.round(F.col("ratio") * SCALE).cast("long").alias("ratio"))
+    windows = rows.select("row", F.explode(_windows(F.col("text"))).alias("run"))
+    sums = windows.join(ratios, "run").groupBy("row").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
+    scores = cut(sums.select("row", (F.col("sum") / SCALE / F.col("n")).alias("score")), "url-scores")
+    held = scores.join(rows.where(F.col("back") & (F.col("cls") == 0)).select("row"), "row", "left_semi")
+    edge = held.agg(F.percentile_approx("score", 1 - FALSE_BLOCKS, 10_000)).first()[0]
+    return scores, max(0.0, edge) if edge is not None else 0.0
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], seeds: list[str] = SEEDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict, score. rules: (allow or block, `host/path start`)."""
     host, path = host_path(F.col(url_col).cast("string"))
-    rows = cut(pages.select(F.col(id_col), host.alias("host"), path.alias("path")), "url-parts")
-    models, edge = fit(rows.select("host", "path"), seeds)
-    ratio = score(models, pages.sparkSession, _text(F.col("host"), F.col("path"))) if models else F.lit(0.0)
-    ruled = rule_of(F.col("host"), F.col("path"), rules)
-    found = rows.withColumn("rule", ruled).withColumn("score", ratio)
+    rows = cut(pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")), "url-parts")
+    scores, edge = score(rows.select("row", "host", "path"), seeds)
+    found = rows.withColumn("score", F.lit(0.0)) if scores is None else rows.join(scores, "row")
+    found = found.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.when(F.col("score") > edge, "block").otherwise("allow")
     for kind, rule in rules:
         verdict = F.when(F.col("rule") == rule, kind).otherwise(verdict)
-    return found.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")
+    judged = F.when((F.col("host") == "") & F.col("rule").isNull(), "allow").otherwise(verdict)
+    return found.select(id_col, "host", "path", "rule", judged.alias("verdict"), "score")

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -193,11 +195,33 @@ def test_url_models_tell_spam(spark):
     assert all(got[i] == "block" for i in range(600, 660)) and sum(got[i] == "block" for i in range(600)) <= 6
 
 
+def test_url_scores_against_brute_force(spark):
+    r = random.Random(3)
+    urls = [f"http://{r.choice(['casino', 'news', 'näws', 'bet', 'blog'])}-{r.choice('abc')}.org/{r.randrange(40)}" for _ in range(400)]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, None, "x"])], "page_id long, url string, row string")
     host, path = url_filter.host_path(F.col("url"))
-    models, edge = url_filter.fit(pages.select(host.alias("host"), path.alias("path")))
-    new = spark.createDataFrame([("casinowin7.org", "/5"), ("theionble.org", "/77")], "host string, path string")
-    scores = [r[0] for r in new.select(url_filter.score(models, spark, url_filter._text(F.col("host"), F.col("path")))).collect()]
-    assert scores[0] > edge >= scores[1]  # URLs that neither model has seen
+    text = url_filter._text(host, path)
+    rows = pages.select("page_id", host.alias("h"), text.alias("t"), F.pmod(F.xxhash64(text), F.lit(10)).alias("fold")).collect()
+    k = url_filter.ORDER + 1
+    windows = lambda t: [t[i : i + k] for i in range(len(t) - k + 1)]
+    counts = [Counter(w for x in rows if x.h and x.fold and bool({"casino", "bet"} & set(x.h.replace("-", ".").split("."))) == bad for w in windows(x.t)) for bad in (False, True)]
+    runs = [dict(c) for c in counts]
+    for n in range(k, 1, -1):
+        for c in runs:
+            for short, m in Counter(w[1:] for w in c if len(w) == n).items():
+                c[short] = m
+    alphabet = len({w[-1] for x in rows for w in windows(x.t)}) + 1
+
+    def p(c, w):
+        lower = p(c, w[1:]) if len(w) > 1 else 1 / alphabet
+        follow = [n for v, n in c.items() if len(v) == len(w) and v[:-1] == w[:-1]]
+        return (c.get(w, 0) + len(follow) * lower) / (sum(follow) + len(follow)) if follow else lower
+
+    known = {w: math.log(p(runs[1], w) / p(runs[0], w)) for x in rows for w in windows(x.t)}
+    got = {x.page_id: x.score for x in url_filter.url_filter(pages, []).collect()}
+    assert len(got) == len(rows)
+    for x in rows:
+        assert abs(got[x.page_id] - sum(known[w] for w in windows(x.t)) / len(windows(x.t))) < 1e-6
 
 
 def test_alignment_and_licenses(spark):
