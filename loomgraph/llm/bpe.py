@@ -7,8 +7,9 @@ the same expression. So no text and no position is ever shuffled, what a worker
 doesn't depend on which words are in the table.
 
 The rank map is a literal: the rank of each mergeable pair of pieces, as a perfect-hash table in one array of longs
-(displacements in another), read by position. A word starts as its bytes' pieces; the fold merges the leftmost pair of
-least rank until no pair has a rank, and looks up only the new pairs after each merge.
+(displacements in another), read by position; pairs of single bytes have a table of their own. A word starts as its bytes'
+pieces, each with its rank; the fold merges the leftmost pair of least rank until no pair has a rank, and looks up only
+the new pairs after each merge.
 
 decode concatenates the binary pieces of the ids.
 
@@ -48,6 +49,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 #: Multipliers of the hash functions; a key below 2^32 times one of these stays below 2^63.
 MULTIPLIERS = (1_640_531_527, 2_147_483_629, 1_812_433_253)
+#: The rank of a pair that doesn't merge; ranks are below it.
+NONE = 1 << 16
 
 
 def perfect(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,36 +111,45 @@ class RankMap:
         self.groups, self.slots = len(shifts), 8 * len(shifts)
         table = np.full(self.slots, 1 << 62, dtype=np.int64)  # key << 16 | rank in each slot, or what no key gives
         table[place] = keys << 16 | np.array(list(pairs.values()), dtype=np.int64)
-        one_row = spark.createDataFrame([(shifts.tolist(), table.tolist(), [ranks[bytes([i])] for i in range(256)])], "a array<bigint>, b array<bigint>, c array<bigint>")
-        self.shifts, self.table, self.bytes = _literals(one_row)
+        # what a word's state starts from: by the next byte (256: none) and the byte, its rank with it and its piece
+        single = [ranks[bytes([i])] for i in range(256)]
+        first = [(pairs.get(single[x] << 16 | single[y], NONE) if y < 256 else NONE) << 43 | single[x] for y in range(257) for x in range(256)]
+        one_row = spark.createDataFrame([(shifts.tolist(), table.tolist(), first)], "a array<bigint>, b array<bigint>, c array<bigint>")
+        self.shifts, self.table, self.pairs = _literals(one_row)
 
     def rank(self, a: Column, b: Column) -> Column:
-        """The rank of the pair of pieces a, b; a number above 65,535 if they don't merge."""
-        k = F.shiftleft(a, 16) + b
-        part = lambda i, n: F.shiftright(k * MULTIPLIERS[i], 24).bitwiseAND(n - 1)
-        slot = (part(1, self.slots) + _get(self.shifts, part(0, self.groups)) * part(2, self.slots).bitwiseOR(1)).bitwiseAND(self.slots - 1)
-        return _get(self.table, slot).bitwiseXOR(F.shiftleft(k, 16))
+        """The rank of the pair of pieces a, b; NONE if they don't merge."""
+        part = lambda k, i, n: F.shiftright(k * MULTIPLIERS[i], 24).bitwiseAND(n - 1)
+        slot = lambda k: (part(k, 1, self.slots) + _get(self.shifts, part(k, 0, self.groups)) * part(k, 2, self.slots).bitwiseOR(1)).bitwiseAND(self.slots - 1)
+        return _let(F.shiftleft(a, 16) + b, lambda k: F.least(_get(self.table, slot(k)).bitwiseXOR(F.shiftleft(k, 16)), F.lit(NONE).cast("long")))
 
     def fold(self, word: Column) -> Column:
-        """The ids (array of ints) of a string's bytes."""
-        none = F.expr("cast(array() as array<bigint>)")
+        """The ids (array of ints) of a string's bytes.
 
-        def merge(p: Column, r: Column, low: Column, at: Column) -> Column:
-            left = F.when(at > 1, F.array(self.rank(_get(p, at - 2), low))).otherwise(none)
-            right = F.when(at < F.size(r), F.array(self.rank(low, _get(p, at + 1)))).otherwise(none)
-            pieces = F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p)))
-            return F.struct(pieces.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"))
+        The state is one array of longs, each a piece with where it starts and the rank it merges by with the next one:
+        rank << 43 | start << 16 | piece. So the least long is the leftmost pair of least rank.
+        """
+        piece = lambda x: x.bitwiseAND(65535)
+        with_rank = lambda x, rank: x.bitwiseAND((1 << 43) - 1) + F.shiftleft(rank, 43)
 
-        def step(state: Column, _: Column) -> Column:
-            p, r = state["p"], state["r"]
-            return _let(F.array_min(r), lambda low: F.when(F.coalesce(low > 65535, F.lit(True)), state).otherwise(_let(F.array_position(r, low).cast("int"), lambda at: merge(p, r, low, at))))
+        def merge(q: Column, low: Column, at: Column) -> Column:
+            """q with the pair of low, at place `at` from 1, and what follows made one; its id is the pair's rank. Starts tell all longs apart."""
+            made, after = F.shiftright(low, 43), _get(q, at + 1)
+            own = low.bitwiseAND(((1 << 27) - 1) << 16) + made + F.shiftleft(F.when(after.isNull(), F.lit(NONE).cast("long")).otherwise(self.rank(made, piece(after))), 43)
+            changed = lambda x, i: F.when(x == low, own).when(i + 2 == at, with_rank(x, self.rank(piece(x), made))).otherwise(x)
+            return F.transform(F.array_remove(q, _get(q, at)), changed)
 
-        def whole(p: Column) -> Column:
-            ranks = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), self.rank)
-            return F.when(F.size(p) < 2, p).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(p)), F.struct(p.alias("p"), ranks.alias("r")), step, lambda state: state["p"]))
+        def step(q: Column, _: Column) -> Column:
+            merged = lambda low: _let(F.array_position(q, low).cast("int"), lambda at: merge(q, low, at))
+            return _let(F.array_min(q), lambda low: F.when(low >= NONE << 43, q).otherwise(merged(low)))
+
+        def whole(b: Column) -> Column:
+            q = F.transform(b, lambda x, i: _get(self.pairs, F.shiftleft(F.coalesce(_get(b, i + 1), F.lit(256)), 8) + x) + F.shiftleft(i.cast("long"), 16))
+            return F.when(F.size(b) < 2, q).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(b)), q, step))
 
         chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        return _let(F.transform(chars, lambda c: _get(self.bytes, F.ascii(c))), whole).cast("array<int>")
+        folded = _let(F.transform(F.filter(chars, lambda c: c != ""), F.ascii), whole)
+        return F.transform(folded, lambda x: piece(x).cast("int"))
 
 
 def words(text: Column, pattern: str) -> Column:
