@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences at line ends and after . ! or ?. Every run of RUN consecutive sentences with LEAST_WORDS words or
-more is hashed; the hashes of all texts are grouped (partial aggregation first) for the first place of each that
+A text is cut into sentences at line ends and after . ! or ?. From every start the shortest run of RUN consecutive sentences or
+more that holds LEAST_WORDS words is hashed, and likewise the shortest that reaches back from every end, so that a repeated
+stretch of that size is covered from its first sentence to its last, however short they are; the hashes of all texts are grouped (partial aggregation first) for the first place of each that
 repeats, and every sentence that stands in a span which is not the first of its kind is removed. The first place is the least
 (id, position), so one copy of everything stays.
 
@@ -31,30 +32,56 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
 
 
+def _place(start: Column, length: Column) -> Column:
+    """A run as one number, ordered by its start (from 1)."""
+    return F.shiftleft(start.cast("long"), 32) + length
+
+
+def _start(place: Column) -> Column:
+    return F.shiftright(place, 32).cast("int")
+
+
+def _length(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
 def spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs(id, text) -> (id, at, hash) of every run of sentences that is long enough."""
+    """docs(id, text) -> (id, at, hash) of the shortest runs from every start and to every end; at is a place."""
     plain = F.transform(sentences(F.col("text")), lambda s: F.trim(F.regexp_replace(ascii_lower(s), r"\s+", " ")))
     rows = docs.select("id", F.transform(plain, lambda s: F.struct(F.xxhash64(s).alias("h"), F.regexp_count(s, F.lit(WORD)).alias("n"))).alias("s"))
-    starts = F.when(F.size("s") >= run, F.sequence(F.lit(1), F.size("s") - run + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    runs = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.transform(F.slice("s", i, run), lambda x: x["h"])).alias("hash"), F.aggregate(F.slice("s", i, run), F.lit(0), lambda a, x: a + x["n"]).alias("n")))
-    return rows.select("id", F.explode(F.filter(runs, lambda r: r["n"] >= least_words)).alias("r")).select("id", "r.at", "r.hash")
+    most = max(run, least_words)  # a sentence has a word at least, so no shortest run is longer
+
+    def shortest(part: Column) -> Column:
+        """How many sentences of the part, from its first, make a run; null if all are too few."""
+        zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"))
+        enough = lambda a: (a["k"] >= run) & (a["n"] >= least_words)
+        step = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["n"] + x["n"]).alias("n")))
+        return F.aggregate(part, zero, step, lambda a: F.when(enough(a), a["k"]))
+
+    every = F.when(F.size("s") > 0, F.sequence(F.lit(1), F.size("s"))).otherwise(F.expr("cast(array() as array<int>)"))
+    ahead = F.transform(every, lambda i: _place(i, shortest(F.slice("s", i, most))))
+    back = F.transform(every, lambda j: (lambda k: _place(j - k + 1, k))(shortest(F.reverse(F.slice("s", F.greatest(F.lit(1), j - most + 1), F.least(j, F.lit(most)))))))
+    places = F.filter(F.array_distinct(F.concat(ahead, back)), lambda p: p.isNotNull())
+    runs = F.transform(places, lambda p: F.struct(p.alias("at"), F.xxhash64(F.transform(F.slice("s", _start(p), _length(p)), lambda x: x["h"])).alias("hash")))
+    return rows.select("id", F.explode(runs).alias("r")).select("id", "r.at", "r.hash")
 
 
 def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs(id, text) -> (id, starts): the places of spans that aren't the first of their kind."""
+    """docs(id, text) -> (id, places): those of spans that aren't the first of their kind."""
     all_of_them = cut(spans(docs, run, least_words), "span-hashes")
     first = all_of_them.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
     later = all_of_them.join(first, "hash").where(F.struct("id", "at") != F.col("first"))
-    return later.groupBy("id").agg(F.collect_set("at").alias("starts"))
+    return later.groupBy("id").agg(F.collect_set("at").alias("places"))
 
 
 def sentence_dedup(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col cut, and n_sentences, n_removed, words_removed."""
     marks = cut(repeated(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, least_words), "span-repeats")
-    marks = marks.select(F.col("id").alias("_id"), F.col("starts").alias("_starts"))
-    rows = docs.join(marks, F.col(id_col).cast("long") == F.col("_id"), "left").withColumn("_all", sentences(F.col(text_col)))
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.sequence(i, i + run - 1))))
-    rows = rows.withColumn("_gone", F.when(F.col("_starts").isNull(), F.expr("cast(array() as array<int>)")).otherwise(gone))
+    marks = marks.select(F.col("id").alias("_id"), F.col("places").alias("_places"))
+    # one plan at every size: a broadcast of few marks would say nothing of many
+    rows = docs.join(marks.hint("merge"), F.col(id_col).cast("long") == F.col("_id"), "left").withColumn("_all", sentences(F.col(text_col)))
+    gone = F.array_distinct(F.flatten(F.transform("_places", lambda p: F.sequence(_start(p), _start(p) + _length(p) - 1))))
+    rows = rows.withColumn("_gone", F.when(F.col("_places").isNull(), F.expr("cast(array() as array<int>)")).otherwise(gone))
     kept = F.filter("_all", lambda s, i: ~F.array_contains(F.col("_gone"), i + 1))
     lost = F.filter("_all", lambda s, i: F.array_contains(F.col("_gone"), i + 1))
     cut_text = F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, ""))

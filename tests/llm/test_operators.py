@@ -246,3 +246,15 @@ def test_sentence_spans(spark):
     for i, t in texts:
         if t:
             assert "".join(r for r in spark.createDataFrame([(t,)], "t string").select(sentence_spans.sentences(F.col("t"))).first()[0]) == t
+
+
+def test_sentence_spans_of_short_sentences(spark):
+    short = " ".join(f"Line {i} is here." for i in range(15))  # 60 words in sentences of 4
+    lines = "\n".join(f"row {i}" for i in range(9))  # every end must be reached too: 18 words in lines of 2
+    mixed = "One long sentence that holds more than twelve words all by itself, as you see. Yes. No."
+    texts = [(1, short), (2, f"First of all. {short} And so on."), (3, lines), (4, f"head\n{lines}\ntail"), (5, mixed), (6, f"Ahead of it. {mixed} Behind it."), (7, "A b. C d."), (8, "A b. C d.")]
+    got = {r.doc_id: (r.text, r.n_removed, r.words_removed) for r in sentence_spans.sentence_dedup(docs(spark, texts)).collect()}
+    assert all(got[i] == (t, 0, 0) for i, t in texts if i in (1, 3, 5, 7, 8))
+    assert got[2] == ("First of all. And so on.", 15, 60)
+    assert got[4] == ("head\ntail", 9, 18)
+    assert got[6] == ("Ahead of it. Behind it.", 3, 17)
