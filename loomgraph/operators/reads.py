@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,8 +99,20 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def merged_evidence(rows: DataFrame, keys: list[str], seq: str, text: str, most: int = 512) -> DataFrame:
-    """Distinct evidence of a key in order of arrival, joined by `; ` and cut at so many characters."""
-    first = rows.groupBy(*keys, text).agg(F.min(seq).alias("_s"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("_s", text))), lambda x: x[text])
-    return first.groupBy(*keys).agg(F.substring(F.array_join(parts, "; "), 1, most).alias("evidence"))
+def merged_evidence(rows: DataFrame, keys: list[str], seq: str, text: str, most: int = 512, reserve: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct evidence of a key in order of arrival, joined by `; `, in at most so many characters.
+
+    Above that whole parts go, the newest first; the last part and those that hold a reserved marker stay. Only if these
+    alone are too long is the text cut. Keys without evidence get null.
+    """
+    pieces = rows.select(*keys, F.col(seq).alias("_s"), F.posexplode_outer(F.split(text, "; ")).alias("_p", "_t"))
+    pieces = pieces.withColumn("_t", F.regexp_replace("_t", r"(?U)^\s+|\s+$", "")).groupBy(*keys, "_t").agg(F.min(F.struct("_s", "_p")).alias("_at"))
+    lists = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_t") != "", F.struct("_at", "_t")))).alias("_all"))
+    last = F.when(F.size("_all") > 0, F.element_at("_all", -1)["_at"])
+    stays = lambda x: reduce(lambda a, r: a | x["_t"].contains(r), reserve, x["_at"] == last)
+    size = lambda x: F.char_length(x["_t"]) + 2
+    lists = lists.select(*keys, F.filter("_all", stays).alias("_held"), F.filter("_all", lambda x: ~stays(x)).alias("_free"))
+    zero = F.struct(F.aggregate("_held", F.lit(0), lambda a, x: a + size(x)).alias("used"), F.lit(0).alias("n"))
+    fit = F.aggregate("_free", zero, lambda a, x: F.struct((a["used"] + size(x)).alias("used"), (a["n"] + (a["used"] + size(x) <= most + 2).cast("int")).alias("n")), lambda a: a["n"])
+    kept = F.transform(F.array_sort(F.concat("_held", F.slice("_free", F.lit(1), fit))), lambda x: x["_t"])
+    return lists.select(*keys, F.when(F.size("_held") > 0, F.substring(F.array_join(kept, "; "), 1, most)).alias("evidence"))

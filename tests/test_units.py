@@ -61,3 +61,12 @@ def test_a_batch_delivered_twice_changes_nothing(spark, tmp_path):
     store.upsert(batch, 1, "k", "updated", "seq")
     store.upsert(batch, 1, "k", "updated", "seq")
     assert sorted(map(tuple, store.read().collect())) == [(1, "b", 1), (2, "a", 1)]
+
+
+def test_evidence_over_the_cap_loses_whole_newest_parts(spark):
+    rows = [(1, i, f"part {i:03d} " + "x" * 40) for i in range(30)] + [(1, 25, "closing_ref: closes"), (1, 40, "part 000 " + "x" * 40), (1, 31, "the newest")]
+    rows += [(2, 1, "b; a"), (2, 2, " a ; c;"), (3, 1, None), (3, 2, "  "), (4, 1, "y" * 600), (5, 1, "z" * 510), (5, 2, "ab")]
+    df = spark.createDataFrame(rows, "k long, s long, t string")
+    got = {r.k: r.evidence for r in R.merged_evidence(df, ["k"], "s", "t", reserve=("closing_ref",)).collect()}
+    first = [f"part {i:03d} " + "x" * 40 for i in range(9)]  # 9 x 51 + 31 = 490 of 512
+    assert got == {1: "; ".join([*first, "closing_ref: closes", "the newest"]), 2: "b; a; c;", 3: None, 4: "y" * 512, 5: "ab"}
