@@ -3,10 +3,14 @@
 Each pass gives every vector a key of random hyperplane signs (KEY_BITS bits, another seed a pass) and orders all
 vectors by it. Vectors that are close mostly share a long prefix, so each is compared with the WINDOW that follow it. A
 range partition's ends are handed on, so that windows run across partitions. Pairs are verified in double precision and
-collected over the passes.
+collected over the passes; they give the components.
 
-Equal vectors are one vector with a count, so a group of copies costs as much as a single one. Windows bound what is
-compared; a pass takes no more memory than a partition's batch and a window.
+Windows bound what a pass compares, so they don't count the links of groups denser than a window. Therefore each component
+is compared whole afterwards, block against block, which gives counts a vector and no pairs: n_links is exact within components.
+A component of n vectors takes n * n / 2 products.
+
+Equal vectors are one vector with a count, so a group of copies costs as much as a single one. A pass takes no more memory
+than a partition's batch and a window, a comparison of blocks no more than two blocks.
 
 Defined cases: vectors that are null, empty, zero, of another length than the partner, or that hold null or
 non-finite components link with nothing and are kept; of repeated rows of an id one counts; ties in a key go by id; an
@@ -27,6 +31,8 @@ from .common import cut, partitions
 from .components import components
 
 PASSES, KEY_BITS, WINDOW = 24, 48, 128
+#: Components up to SMALL vectors are one block; larger ones up to SPREAD blocks, and more where a block would exceed BLOCK.
+SMALL, SPREAD, BLOCK = 256, 8, 8192
 
 
 def _keyed(reps: DataFrame, passes: int) -> DataFrame:
@@ -136,6 +142,62 @@ def _seams(ends: DataFrame, least: float, window: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """members(id, v, copies, c) -> a row for each two blocks of a component that a vector's block is one of."""
+    sizes = members.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > SMALL)
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / SMALL), F.lit(SPREAD)), F.ceil(F.col("n") / BLOCK)).cast("int")
+    large = sizes.select(F.col("c").alias("_c"), blocks.alias("_blocks"))
+    rows = members.join(F.broadcast(large), F.col("c") == F.col("_c"), "left").withColumn("_n", F.coalesce("_blocks", F.lit(1)))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return rows.select("c", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "id", "copies", "v")
+
+
+def _links(members: DataFrame, least: float) -> DataFrame:
+    """(rep, near): how many vectors of its component each is close to, copies counted."""
+
+    def count(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        unit = pa.Table.from_batches(parts).combine_chunks()
+        side, ids, copies = (unit.column(k).to_numpy() for k in ("side", "id", "copies"))
+        x = pa.concat_arrays([v.flatten() for v in unit.column("v").chunks]).to_numpy().reshape(len(ids), -1)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        one = parts[0].column("i")[0] == parts[0].column("j")[0]
+        rows = np.arange(len(ids)) if one else np.flatnonzero(side == 0)
+        cols = rows if one else np.flatnonzero(side == 1)
+        near, right = np.zeros(len(ids), dtype=np.int64), x[cols].T
+        for lo in range(0, len(rows), 1024):
+            own = rows[lo : lo + 1024]
+            ok = x[own] @ right >= least
+            if one:
+                ok[np.arange(len(own)), np.arange(lo, lo + len(own))] = False
+            for k in range(0, len(cols), 1024):
+                some = ok[:, k : k + 1024].astype(np.float64)  # counts below 2^53 are exact
+                near[own] += (some @ copies[cols[k : k + 1024]]).astype(np.int64)
+                if not one:
+                    near[cols[k : k + 1024]] += (copies[own] @ some).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near)], ["rep", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if parts and tuple(keys[lo]) != key:
+                    yield count(parts)
+                    parts = []
+                key = tuple(keys[lo])
+                parts.append(batch.slice(lo, hi - lo))
+        if parts:
+            yield count(parts)
+
+    rows = _blocks(members).repartition(partitions(members.sparkSession), "c", "i", "j").sortWithinPartitions("c", "i", "j")
+    return rows.mapInArrow(run, "rep long, near long").groupBy("rep").agg(F.sum("near").alias("near"))
+
+
 def embed_dedup(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -150,9 +212,9 @@ def embed_dedup(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, wi
     scanned = cut(_scan(keyed, least, window), "embed-scan")
     inside = scanned.where("a is not null").select("a", "b")
     pairs = cut(inside.unionByName(_seams(scanned.where("place is not null"), least, window)).distinct(), "embed-pairs")
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = ends.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near"))
     joined = components(pairs)
+    members = reps.join(classes.select(F.col("rep").alias("id"), "copies"), "id").join(joined.select(F.col("node").alias("id"), F.col("component").alias("c")), "id")
+    near = _links(cut(members, "embed-members"), least)
     found = thin.select("id", "k").join(classes, "k").join(near, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
     found = found.select(F.col("id").alias("_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n"), F.coalesce("component", "rep").alias("c"))
     out = rows.select("id").join(found, F.col("id") == F.col("_id"), "left")

@@ -258,3 +258,15 @@ def test_sentence_spans_of_short_sentences(spark):
     assert got[2] == ("First of all. And so on.", 15, 60)
     assert got[4] == ("head\ntail", 9, 18)
     assert got[6] == ("Ahead of it. Behind it.", 3, 17)
+
+
+def test_embed_dedup_counts_all_links_of_a_dense_group(spark):
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.standard_normal(16) + r.standard_normal((600, 16)) * 0.2, r.standard_normal((200, 16))])
+    x = np.concatenate([x, x[:3]])  # copies count in their partners' links
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    degree = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embed_dedup.embed_dedup(rows, window=8).collect()}
+    assert degree.max() > 2 * 8 * embed_dedup.PASSES
+    assert [got[i] for i in range(len(x))] == degree.tolist()
