@@ -50,13 +50,13 @@ def neighbourhood(all_edges: DataFrame, node: str, depth: int) -> DataFrame:
     return seen
 
 
-def shortest_path(all_edges: DataFrame, start: str, end: str, most: int = 8) -> DataFrame:
+def shortest_path(all_edges: DataFrame, start: str, end: str) -> DataFrame:
     """(step, node) of a shortest undirected path over structural edges, of several the one of least names; or no row."""
     spark, steps = all_edges.sparkSession, _both_ways(all_edges)
     seen = spark.createDataFrame([(start, start, 0)], "node string, path string, distance int")
-    for d in range(1, most + 1):
-        if seen.where(F.col("node") == end).limit(1).count():
-            break
+    d = 0
+    while not seen.where(F.col("node") == end).limit(1).count() and seen.where(F.col("distance") == d).limit(1).count():
+        d += 1
         new = seen.where(F.col("distance") == d - 1).join(steps, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("path").alias("path"))
         new = new.join(seen.select("node"), "node", "left_anti").select("node", F.concat_ws(">", "path", "node").alias("path"), F.lit(d).alias("distance"))
         seen = _cut(seen.unionByName(new))

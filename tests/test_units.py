@@ -70,3 +70,8 @@ def test_evidence_over_the_cap_loses_whole_newest_parts(spark):
     got = {r.k: r.evidence for r in R.merged_evidence(df, ["k"], "s", "t", reserve=("closing_ref",)).collect()}
     first = [f"part {i:03d} " + "x" * 40 for i in range(9)]  # 9 x 51 + 31 = 490 of 512
     assert got == {1: "; ".join([*first, "closing_ref: closes", "the newest"]), 2: "b; a; c;", 3: None, 4: "y" * 512, 5: "ab"}
+
+
+def test_shortest_path_follows_long_chains(spark):
+    edges = spark.createDataFrame([("item", f"n{i:02d}", "touches", "file", f"n{i + 1:02d}") for i in range(10)], "src_type string, src string, rel string, dst_type string, dst string")
+    assert [r.node for r in G.shortest_path(edges, "n00", "n10").orderBy("step").collect()] == [f"n{i:02d}" for i in range(11)]
