@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus, merged_pr_files
+from .reads import without_bots
 
 #: Basket sizes that count for co-change, decay of hotspots in days, hub share and the weight of a hub.
 BASKET, DECAY_DAYS, HUB_SHARE, HUB_WEIGHT = (2, 50), 45.0, 0.5, 0.25
@@ -77,7 +78,8 @@ def localised(corpus: Corpus, limit: int) -> DataFrame:
 
 def triage(corpus: Corpus, weights: dict[str, float]) -> DataFrame:
     """Stage-1 scores of open issues: the weighted means of the features that are present, in [0, 1]."""
-    comments = corpus.comments.groupBy("number").agg(F.count("*").alias("comments"), F.countDistinct("author").alias("participants"))
+    people = without_bots(corpus.comments, corpus.actors).groupBy("number").agg(F.countDistinct("author").alias("participants"))
+    comments = corpus.comments.groupBy("number").agg(F.count("*").alias("comments")).join(people, "number", "left").withColumn("participants", F.coalesce("participants", F.lit(0)))
     events = corpus.item_events.groupBy("number").agg(F.count_if(F.col("type") == "reopened").alias("reopens"))
     rows = corpus.items.where("kind = 'issue' and state = 'open'").select("number", "label").join(comments, "number", "left").join(events, "number", "left")
     demand = [F.least(F.lit(1.0), F.col("participants") / 3.0), F.least(F.lit(1.0), F.col("comments") / 5.0)]

@@ -61,9 +61,10 @@ def capped_comments(corpus: Corpus, most: int) -> DataFrame:
 
 
 def participants(corpus: Corpus) -> DataFrame:
-    """Distinct authors of an item's comments and of the item itself."""
+    """Distinct authors of an item's comments and of the item itself that are no bots; items of bots alone have none."""
     authors = corpus.comments.select("number", "author").unionByName(corpus.items.where("kind = 'issue'").select("number", "author"))
-    return authors.groupBy("number").agg(F.countDistinct("author").alias("participants"))
+    people = without_bots(authors, corpus.actors).groupBy("number").agg(F.countDistinct("author").alias("participants"))
+    return authors.select("number").distinct().join(people, "number", "left").select("number", F.coalesce("participants", F.lit(0)).cast("long").alias("participants"))
 
 
 def event_counts(corpus: Corpus) -> DataFrame:

@@ -2,7 +2,9 @@ import json
 
 import pytest
 
+from loomgraph.corpus import Corpus
 from loomgraph.functions import text as T
+from loomgraph.operators import derived as D
 from loomgraph.operators import graph as G
 from loomgraph.operators import reads as R
 from loomgraph.streaming import ingest as S
@@ -75,3 +77,14 @@ def test_evidence_over_the_cap_loses_whole_newest_parts(spark):
 def test_shortest_path_follows_long_chains(spark):
     edges = spark.createDataFrame([("item", f"n{i:02d}", "touches", "file", f"n{i + 1:02d}") for i in range(10)], "src_type string, src string, rel string, dst_type string, dst string")
     assert [r.node for r in G.shortest_path(edges, "n00", "n10").orderBy("step").collect()] == [f"n{i:02d}" for i in range(11)]
+
+
+def test_bots_are_no_participants(spark):
+    items = spark.createDataFrame([(1, "issue", "open", "ann", "x"), (2, "issue", "open", "bot", "x")], "number long, kind string, state string, author string, label string")
+    comments = spark.createDataFrame([(1, "bob"), (1, "bot"), (1, "bob"), (2, "bot")], "number long, author string")
+    events = spark.createDataFrame([], "number long, type string")
+    actors = spark.createDataFrame([("ann", 0), ("bob", 0), ("bot", 1)], "login string, is_bot int")
+    corpus = Corpus(items, None, comments, events, actors)
+    assert {r.number: r.participants for r in R.participants(corpus).collect()} == {1: 2, 2: 0}
+    got = {r.number: r.stage1 for r in D.triage(corpus, {"demand": 1.0, "risk": 0.0}).collect()}
+    assert got == {1: round((1 / 3 + 3 / 5) / 2, 9), 2: round((0 + 1 / 5) / 2, 9)}
