@@ -39,6 +39,7 @@ TEMPLATES = {
 #: Template words that ordinary prose uses often.
 COMMON = frozenset("a an and any are as at by can following for free in is it may not of on or out person source that the this to under use version with without work you your".split())
 LEAST = 0.8
+MATCH = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -103,15 +104,16 @@ class Scanner:
         # words that an alignment of the least coverage can't do without
         self.needs = [max(1, -(-int(least * 1000 * len(w)) // 1000) - sum(x in COMMON for x in w)) for _, w in self.templates]
 
-    def scan(self, text: str | None) -> tuple[str, float, int, int, int] | None:
-        """Best (name, coverage, first word, end word, words of the text)."""
+    def scan(self, text: str | None) -> tuple[list[tuple[str, float, int, int]], int]:
+        """The best (name, coverage, first word, end word) of each template that is found, and the words of the text."""
         words = words_of(text or "")
         hits: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             for k in self.owners.get(w, ()):
                 hits.setdefault(k, []).append(i)
-        best = None
+        found = []
         for k in sorted(hits):
+            best = None
             name, template = self.templates[k]
             reach, at, need = 2 * len(template), hits[k], self.needs[k]
             i = 0
@@ -123,20 +125,25 @@ class Scanner:
                 pairs = align(words[lo:hi], template)
                 covered = len(pairs) / len(template)
                 if covered >= self.least and (best is None or covered > best[1]):
-                    best = (name, covered, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(words))
+                    best = (name, covered, lo + pairs[0][0], lo + pairs[-1][0] + 1)
                 i += 1
-        return best or (None, 0.0, None, None, len(words))
+            if best:
+                found.append(best)
+        return found, len(words)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, n_words, license (null if none), coverage, first_word, end_word."""
+    """One row per row of docs: id_col, n_words, license (null if none), coverage, first_word, end_word, matches (every template found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, least)
         for batch in batches:
             found = [scanner.scan(t.as_py()) for t in batch.column(1)]
-            cols = [pa.array([f[i] for f in found], kind) for i, kind in ((4, pa.int64()), (0, pa.string()), (1, pa.float64()), (2, pa.int64()), (3, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "n_words", "license", "coverage", "first_word", "end_word"])
+            best = [max(m, key=lambda x: x[1], default=(None, 0.0, None, None)) for m, _ in found]  # the first of equals
+            cols = [pa.array([n for _, n in found], pa.int64())]
+            cols += [pa.array([f[i] for f in best], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
+            cols.append(pa.array([[dict(zip([f.name for f in MATCH], x, strict=True)) for x in m] for m, _ in found], pa.list_(MATCH)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "n_words", "license", "coverage", "first_word", "end_word", "matches"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_words long, license string, coverage double, first_word long, end_word long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, n_words long, license string, coverage double, first_word long, end_word long, matches array<struct<license:string,coverage:double,first_word:bigint,end_word:bigint>>").withColumnRenamed("id", id_col)

@@ -270,3 +270,10 @@ def test_embed_dedup_counts_all_links_of_a_dense_group(spark):
     got = {r.vec_id: r.n_links for r in embed_dedup.embed_dedup(rows, window=8).collect()}
     assert degree.max() > 2 * 8 * embed_dedup.PASSES
     assert [got[i] for i in range(len(x))] == degree.tolist()
+
+
+def test_two_licenses_of_a_text(spark):
+    texts = [(0, "Licensed under CC BY-NC 4.0. And more words. Released under the MIT License."), (1, "nothing"), (2, None)]
+    got = {r.doc_id: r for r in license_scan.license_scan(docs(spark, texts)).collect()}
+    assert {m.license for m in got[0].matches} >= {"CC-BY-NC-4.0", "MIT"} and got[0].license in ("CC-BY-NC-4.0", "MIT") and got[0].coverage == 1.0
+    assert got[1].matches == [] and got[2].matches == [] and got[1].license is None
