@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
+from ..storage import cut
 
 #: Relations that a path may not use.
 NOT_STRUCTURAL = ("authored", "has_label")
@@ -32,21 +31,13 @@ def _both_ways(all_edges: DataFrame) -> DataFrame:
     return used.unionByName(used.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/loomgraph"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def neighbourhood(all_edges: DataFrame, node: str, depth: int) -> DataFrame:
     """(node, distance) of what can be reached over structural edges in at most `depth` steps."""
     steps = _both_ways(all_edges)
     seen = all_edges.sparkSession.createDataFrame([(node, 0)], "node string, distance int")
     for d in range(1, depth + 1):
         new = seen.where(F.col("distance") == d - 1).join(steps, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
-        seen = _cut(seen.unionByName(new.join(seen, "node", "left_anti").withColumn("distance", F.lit(d))))
+        seen = cut(seen.unionByName(new.join(seen, "node", "left_anti").withColumn("distance", F.lit(d))), "graph")
     return seen
 
 
@@ -59,7 +50,7 @@ def shortest_path(all_edges: DataFrame, start: str, end: str) -> DataFrame:
         d += 1
         new = seen.where(F.col("distance") == d - 1).join(steps, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("path").alias("path"))
         new = new.join(seen.select("node"), "node", "left_anti").select("node", F.concat_ws(">", "path", "node").alias("path"), F.lit(d).alias("distance"))
-        seen = _cut(seen.unionByName(new))
+        seen = cut(seen.unionByName(new), "graph")
     return seen.where(F.col("node") == end).select(F.posexplode(F.split("path", ">")).alias("step", "node"))
 
 
