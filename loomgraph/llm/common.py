@@ -1,38 +1,28 @@
-"""Helpers shared by the training-data operators: the shared folder, cut lineage, word splitting."""
+"""Helpers shared by the training-data operators: users' columns, the shared folder, word splitting."""
 
 from __future__ import annotations
 
-import uuid
-
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, remove, shared_dir  # noqa: F401
+
 #: Only these letters are folded; other alphabets keep their case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word: everything between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder, as in tests.
-OWN_DIR = "/tmp/checkpoints/loomgraph"
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or OWN_DIR
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends in files that outlive executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct: whatever their names, they can't clash with those that an operator adds."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("own")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store that no later plan reads."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """A folder of shared_dir, from a Python worker."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
 def ascii_lower(text: Column) -> Column:

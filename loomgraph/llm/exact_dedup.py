@@ -8,8 +8,9 @@ Beyond about max_bits / bits_per_row rows the filter lets more unique rows throu
 stays right at any size.
 
 Defined cases: null text counts as empty; empty texts are equal to each other; of equal texts the largest id stays;
-rows that repeat an id with the same text are counted one by one and share a verdict; an empty table gives an empty
-result; other columns are left alone.
+rows that repeat an id with the same text are counted one by one and share a verdict; a null id is less than any other, and
+rows of null ids alone share the verdict null and stay; an empty table gives an empty result; other columns, of whatever
+name, keep their values.
 """
 
 from __future__ import annotations
@@ -17,71 +18,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
-
-HASHES = 2
+from . import bloom
+from .common import ascii_lower, cut, packed
 
+#: The verdicts of the MOST largest groups of more than LARGE rows are broadcast, so that no task gets all rows of one. Only speed depends on them.
+LARGE, MOST = 1_000, 1_000
 
 def text_key(text: Column) -> Column:
     """SHA-256 (binary) of the text with A-Z lower-cased."""
     return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
 
 
-def _cell(key: Column, j: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(j)), F.lit(bits)) + 1
-
-
-def _bit(bitmap: Column, cell: Column) -> Column:
-    """Whether the cell's bit is set in its bitmap; false where there is no bitmap."""
-    at = F.bitmap_bit_position(cell)
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-
-
-def repeated_cells(keys: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the cells that two or more rows of keys(key) hit: the Bloom filter of pass 1."""
-    cells = keys.select(F.explode(F.array_distinct(F.array(*[_cell(F.col("key"), j, bits) for j in range(HASHES)]))).alias("cell"))
-    cells = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    return cells.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
-
-
-def with_maybe(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """rows(.., key) and `maybe`: false only if no other row has the key."""
-    maybe = F.lit(True)
-    for j in range(HASHES):
-        side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"_b{j}"), F.col("bitmap").alias(f"_m{j}")))
-        cell = _cell(F.col("key"), j, bits)
-        rows = rows.join(side, F.bitmap_bucket_number(cell) == F.col(f"_b{j}"), "left")
-        maybe = maybe & _bit(F.col(f"_m{j}"), cell)
-    return rows.withColumn("maybe", maybe).drop(*[f"_{x}{j}" for x in "bm" for j in range(HASHES)])
+def _met(again: DataFrame, groups: DataFrame) -> DataFrame:
+    """again(key, ..) with the verdicts of groups(key, keep_id, group_size): that of the MOST largest groups comes to the rows."""
+    large = cut(groups.where(F.col("group_size") > LARGE).orderBy(F.desc("group_size"), "key").limit(MOST), "dedup-large")
+    return again.join(F.broadcast(large), "key").unionByName(again.join(F.broadcast(large.select("key")), "key", "left_anti").join(groups, "key"))
 
 
 def _filter(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_bits: int) -> tuple[DataFrame, DataFrame, int]:
     thin = cut(docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key")), "dedup-keys")
-    bits = 1 << 15
-    rows = thin.count()
-    while bits < min(rows * bits_per_row, max_bits):
-        bits *= 2
-    return thin, cut(repeated_cells(thin, bits), "dedup-filter"), bits
+    bits = bloom.size(thin.count(), bits_per_row, max_bits)
+    return thin, cut(bloom.bitmaps(thin, bits, 2), "dedup-filter"), bits
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = bloom.BITS_PER_ROW, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256."""
-    thin, bitmaps, bits = _filter(docs, id_col, text_col, bits_per_row, max_bits)
-    marked = with_maybe(thin, bitmaps, bits)
+    thin, maps, bits = _filter(docs, id_col, text_col, bits_per_row, max_bits)
+    marked = bloom.with_maybe(thin, maps, bits)
     alone = marked.where(~F.col("maybe")).select("id", "key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     again = marked.where("maybe").select("id", "key")
     groups = again.groupBy("key").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = alone.unionByName(again.join(groups, "key").select("id", "key", "keep_id", "group_size"))
+    found = alone.unionByName(_met(again, groups).select("id", "key", "keep_id", "group_size"))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("key")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = bloom.BITS_PER_ROW, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """docs without the rows whose text a row of a larger id has; unique rows pass without a shuffle."""
-    thin, bitmaps, bits = _filter(docs, id_col, text_col, bits_per_row, max_bits)
-    again = with_maybe(thin, bitmaps, bits).where("maybe")
-    groups = again.groupBy("key").agg(F.max("id").alias("keep_id")).select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"))
-    marked = with_maybe(docs.withColumn("key", text_key(F.col(text_col))), bitmaps, bits)
-    alone = marked.where(~F.col("maybe")).select(*docs.columns)
-    kept = marked.where("maybe").join(groups, (F.col("key") == F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)
-    return alone.unionByName(kept)
+    thin, maps, bits = _filter(docs, id_col, text_col, bits_per_row, max_bits)
+    again = bloom.with_maybe(thin, maps, bits).where("maybe")
+    groups = again.groupBy("key").agg(F.max("id").alias("keep_id"))
+    marked = bloom.with_maybe(docs.select(packed(docs), F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key")), maps, bits)
+    alone = marked.where(~F.col("maybe")).select("own")
+    kept = marked.where("maybe").join(groups.select(F.col("key").alias("group"), "keep_id"), (F.col("key") == F.col("group")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi").select("own")
+    return alone.unionByName(kept).select("own.*")

@@ -12,7 +12,9 @@ bucket sums locate the one bucket that holds the end, and only that one is sorte
 
 Defined cases: null text has no tokens and is never taken (tokens_taken 0); null domain, language or source is the
 name '(none)'; names without a weight weigh 1, weight 0 takes nothing; equal hashes go by id; repeated ids share their
-place in the order; an empty table gives an empty result.
+place in the order, shorter rows first (rows of equal id and length are alike in the result); rows of null ids are one id; an empty
+table gives an empty result; other columns, of whatever name, keep their values in take(). A leaf's bucket sums are one task,
+which takes its documents / BUCKET rows: some ten million rows for 10^10 documents.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from . import bloom
+from .common import cut, n_words, packed
 
 BUCKET = 1024
 LEVELS = ("domain", "lang", "source")
@@ -92,13 +95,15 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_percent: int
     placed = placed.join(ends, [*LEVELS, "bucket"])
     inside = (F.col("start") < F.col("tail")) & (F.col("tail") < F.col("end"))
     whole = placed.where(~inside).withColumn("tail_tokens", F.when(F.col("end") <= F.col("tail"), F.col("n_tokens")).otherwise(F.lit(0).cast("long")))
-    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("at", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     edge = placed.where(inside).withColumn("tail_tokens", F.greatest(F.lit(0).cast("long"), F.least(F.col("n_tokens"), F.col("tail") - F.col("start") - before)))
     cols = [F.col("id").alias(id_col), *LEVELS, "n_tokens", "full_epochs", "tail_tokens", (F.col("full_epochs") * F.col("n_tokens") + F.col("tail_tokens")).alias("tokens_taken")]
     return whole.select(*cols).unionByName(edge.select(*cols))
 
 
 def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs of which mixed takes any token, whole."""
-    taken = mixed.where("tokens_taken > 0").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(taken, F.col(id_col) == F.col("_id"), "left_semi")
+    """The rows of docs of which mixed, mix(docs), takes any token, whole; only those that may have to go are shuffled."""
+    gone = cut(mixed.groupBy(F.col(id_col).cast("long").alias("key")).agg(F.max("tokens_taken").alias("most")).where("most = 0").select("key"), "mix-gone")
+    apart, near = bloom.split(docs.select(packed(docs), F.col(id_col).cast("long").alias("key")), gone)
+    near = near.join(gone.select(F.col("key").alias("lost")).hint("merge"), F.col("key").eqNullSafe(F.col("lost")), "left_anti")
+    return apart.unionByName(near).select("own.*")

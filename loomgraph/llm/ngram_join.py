@@ -12,8 +12,9 @@ a few anchor sets, and whatever is still outside the group's largest class after
 are found as spanning links: the classes are exact, pairs within a class aren't listed.
 
 Defined cases: A-Z is lower-cased; fewer words than n make one shingle of the whole sequence; null, empty and blank
-texts have no set, are linked with nothing and are classes of their own; repeated rows of an id share a class; an empty
-table gives an empty result; other columns aren't read.
+texts have no set, are linked with nothing and are classes of their own; repeated rows of an id share a class; rows of null
+ids have no class of their own (component_id is that of an equal or linked text, else null) and stay in one_of_each; an empty
+table gives an empty result; other columns aren't read, and keep their values in one_of_each, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, remove, shared_dir
+from . import bloom
+from .common import cut, packed, partitions, remove, shared_dir
 from .components import components
 from .shingles import WordHashes, lists, shingles, sliced
 
@@ -40,10 +42,15 @@ BLOCK, ANCHORS = 3_000_000, 64
 FAN = 256
 
 
-#: A side of a join is broadcast only if it has at most so many rows.
+#: A side of a join is broadcast only if it has at most so many rows, of four longs at most.
 FEW = 1_000_000
 
 
+def _task(probing: int, *cols) -> Column:
+    """A name of a task. Two tasks of one kind that get the same are compared with each other, which loses no link."""
+    return F.shiftleft(F.xxhash64(*cols), 1).bitwiseOR(F.lit(probing)).alias("task")
+
+
 def few(rows: DataFrame) -> DataFrame:
     """rows, to be broadcast if a count shows that they are few."""
     return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
@@ -169,6 +176,25 @@ def _prefixes(docs: DataFrame, n: int, percent: int, hot: np.ndarray, times: int
     return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, elements array<long>")
 
 
+def _reordered(first: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
+    """(id, n_shingles, elements): prefixes in the order with hot elements last, of _prefixes' longer ones; null where they run out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 4096):
+            shown, runs_out = [], []
+            for n, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                p, x = prefix_length(n, percent), x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                ordered = in_order(x, hot)
+                short = len(x) < n and len(x) and p and len(hot) and hot[min(np.searchsorted(hot, ordered[p - 1]), len(hot) - 1)] == ordered[p - 1]
+                runs_out.append(bool(short))
+                shown.append(ordered[:0] if short else ordered[:p])
+            found = lists(shown, pa.int64())
+            found = pa.ListArray.from_arrays(found.offsets, found.values, mask=pa.array(runs_out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["id", "n_shingles", "elements"])
+
+    return first.select("id", "n_shingles", "elements").mapInArrow(run, "id long, n_shingles long, elements array<long>")
+
+
 def _joined(rows: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
     """rows(task, id, text, label, probe) -> links (a, b) within each task, read as a sorted stream.
 
@@ -241,13 +267,17 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     equal = own.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     common = first.select(F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
     hot = np.sort(np.array([r["e"] for r in common.orderBy(F.desc("c"), "e").limit(MOST_HOT).collect()], dtype=np.int64).view(np.uint64))
+    prefixes = shared_dir(spark, "join-prefixes")
+    _reordered(first, percent, hot).write.parquet(prefixes)
+    short = cut(spark.read.parquet(prefixes).where("elements is null").select("id").distinct(), "join-short")
+    again = shared_dir(spark, "join-again")
+    _prefixes(docs.join(few(short), "id", "left_semi"), n, percent, hot).select("id", "n_shingles", "elements").write.parquet(again)
     remove(spark, folder)
-    folder = shared_dir(spark, "join-prefixes")
-    _prefixes(docs, n, percent, hot).write.parquet(folder)
+    known = spark.read.parquet(prefixes, again)
     # what brings sets together: elements in the prefixes of two sets
     reps = few(equal.select(F.col("rep").alias("id")))
     packed = F.shiftleft(F.col("n_shingles"), 32)
-    entries = spark.read.parquet(folder).join(reps, "id", "left_semi").select("id", packed.alias("n"), F.posexplode("elements").alias("i", "e")).select("e", "id", (F.col("n") + F.col("i")).alias("at"))
+    entries = known.where("elements is not null").join(reps, "id", "left_semi").select("id", packed.alias("n"), F.posexplode("elements").alias("i", "e")).select("e", "id", (F.col("n") + F.col("i")).alias("at"))
     last = F.broadcast(spark.createDataFrame([(int(e),) for e in hot.view(np.int64)], "e long"))  # MOST_HOT rows at most
     often = entries.join(last, "e", "left_semi").select("id", "e")
     stars = often.join(F.broadcast(often.groupBy("e").agg(F.min("id").alias("least"))), "e").select(F.col("least").alias("a"), F.col("id").alias("b"))
@@ -257,15 +287,16 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     stars = stars.unionByName(rest.where(F.col("c") > HOT).select(F.col("least").alias("a"), F.col("id").alias("b"))).where("a <> b")
     pairs = _promising(rest.where(F.col("c") <= HOT).select("e", "id", "n", "i"), percent)
     meet = cut(stars.distinct().withColumn("star", F.lit(True)).unionByName(pairs.withColumn("star", F.lit(False))), "join-meet")
-    remove(spark, folder)
+    remove(spark, prefixes)
+    remove(spark, again)
     sizes = own.groupBy("id").agg(F.max("n_shingles").alias("n"))
     asked, large = _sized(meet, sizes)
-    whole_groups = asked.where("blocks = 1").select("id", F.concat(F.lit("g"), "grp").alias("task"), F.col("id").alias("label"), F.lit(False).alias("probe"))
+    whole_groups = asked.where("blocks = 1").select("id", _task(0, F.lit("g"), "grp"), F.col("id").alias("label"), F.lit(False).alias("probe"))
     if large:
         # of groups too large for a task, the sets that hot shingles join are grouped again; other pairs are looked at one by one
         part = meet.join(asked.where("blocks > 1").select(F.col("id").alias("a")), "a", "left_semi")
         asked, large = _sized(part.where("star"), sizes)
-        first_of = part.where("not star").select("a", F.col("b").alias("id"), F.concat_ws(":", F.lit("p"), "a", F.pmod(F.xxhash64("b"), F.expr(f"count(*) over (partition by a) div {FAN} + 1"))).alias("task"))
+        first_of = part.where("not star").select("a", F.col("b").alias("id"), _task(1, F.lit("p"), "a", F.pmod(F.xxhash64("b"), F.expr(f"count(*) over (partition by a) div {FAN} + 1"))))
         probing = first_of.select("task", F.col("a").alias("id")).distinct().withColumn("probe", F.lit(True))
         whole_groups = whole_groups.unionByName(first_of.select("task", "id").withColumn("probe", F.lit(False)).unionByName(probing).withColumn("label", F.col("id")))
     else:
@@ -274,7 +305,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     anchor = F.pmod(F.xxhash64("id", F.lit(1)), F.expr(f"members div {ANCHORS} + 1")) == 0
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     tasks = asked.select("id", F.explode(F.when(anchor, everywhere).otherwise(F.array(block))).alias("block"), "grp")
-    tasks = tasks.select("id", F.concat_ws(":", "grp", "block").alias("task"), F.col("id").alias("label"), F.lit(False).alias("probe"))
+    tasks = tasks.select("id", _task(0, F.lit("b"), "grp", "block"), F.col("id").alias("label"), F.lit(False).alias("probe"))
     tasks = cut(tasks.unionByName(whole_groups), "join-tasks")
     links = cut(_joined(docs.join(few(tasks), "id"), n, percent, hot), "join-links")
     classes = components(links)
@@ -288,7 +319,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
         placed, outside = placed.join(chunks, "grp"), outside.join(chunks, "grp")
         chunk = F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks"))
         several = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-        row = lambda df, b, c, probe: df.select(F.concat_ws(":", "grp", b, c).alias("task"), "id", "label", F.lit(probe).alias("probe"))
+        row = lambda df, b, c, probe: df.select(_task(1, F.lit("c"), "grp", b, c), "id", "label", F.lit(probe).alias("probe"))
         stored = row(placed.withColumn("c", F.explode(several)), block, F.col("c"), False)
         probing = row(outside.withColumn("b", F.explode(everywhere)), F.col("b"), chunk, True)
         tasks = stored.unionByName(probing).groupBy("task", "id").agg(F.first("label").alias("label"), F.max("probe").alias("probe"))
@@ -298,6 +329,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, that of the smallest id."""
-    gone = ngram_join(docs, n, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("_gone")).distinct()
-    return docs.join(cut(gone, "join-gone"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """docs with one document of each class, that of the smallest id; only rows that may have to go are shuffled."""
+    gone = ngram_join(docs, n, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("key")).distinct()
+    gone = cut(gone, "join-gone")
+    apart, near = bloom.split(docs.select(packed(docs), F.col(id_col).cast("long").alias("key")), gone)
+    return apart.unionByName(near.join(gone.hint("merge"), "key", "left_anti")).select("own.*")

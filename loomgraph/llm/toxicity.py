@@ -1,13 +1,15 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct hashed unigrams, bigrams and skip-grams (two words with one between) of a whole text. The model
-is fitted on at most PER_CLASS labelled rows of each class, those of the least hashed id; every other row is only
-scored. Rows are turned into features on the executors; one task then runs the online updates, each coordinate with its own
+is fitted on at most PER_CLASS labelled rows of each class, those of the least hashed id, and of these on the first ones whose
+features number at most FEATURES a class, so that the fit's memory is bounded whatever the length of texts; every other row is only
+scored, whole. Rows are turned into features on the executors; one task then runs the online updates, each coordinate with its own
 rate, and L1 keeps the weights few, so that they are broadcast as a short list (2^BITS at most).
 
 Defined cases: null and empty texts have no features and get the score of the bias; ids labelled twice count as toxic if
 one label says so; null labels and labels of unknown ids are left out; without labels of both classes nothing is
-learned and every score is 0; repeated rows are scored one by one; an empty table gives an empty result.
+learned and every score is 0.5 (nothing rejected); repeated rows are scored one by one; an empty table gives an empty result;
+other columns, of whatever name, keep their values.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
 from .shingles import WordHashes, hashed, lists, sliced, stir, words_of
 
 BITS = 20
 #: Most rows of each class that the model is fitted on.
 PER_CLASS = 6_000
+#: Most features (4 bytes each) of the rows of each class that are held while the model is fitted.
+FEATURES = 24_000_000
 THRESHOLD = 0.7
 
 
@@ -57,13 +62,17 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _fit(epochs: int):
+def _fit(epochs: int, most: int = FEATURES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels = [], []
+        rows, labels, room = [], [], [most, most]
         for batch in batches:
-            for x, y in zip(batch.column(1), batch.column(2), strict=True):
+            for x, y in zip(batch.column(1), map(int, batch.column(2).to_pylist()), strict=True):
+                if len(x.values) > room[y]:
+                    room[y] = 0  # the sample of this class ends here
+                    continue
+                room[y] -= len(x.values)
                 rows.append(np.append(x.values.to_numpy(zero_copy_only=False), np.int32(1 << BITS)))
-                labels.append(y.as_py())
+                labels.append(y)
         at, w = np.empty(0, dtype=np.int64), np.empty(0)
         if len(set(labels)) == 2:
             model, order = Ftrl(), np.random.default_rng(11)
@@ -134,4 +143,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are predicted to be toxic."""
     weights = fit(docs, labels.where(~held_out(id_col)), id_col=id_col, text_col=text_col)
-    return docs.withColumn("_score", score(docs, weights, text_col)).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    return docs.select(packed(docs), score(docs, weights, text_col).alias("score")).where(F.col("score") < THRESHOLD).select("own.*")
