@@ -6,13 +6,14 @@ stretch of that size is covered from its first sentence to its last, however sho
 repeats, and every sentence that stands in a span which is not the first of its kind is removed. The first place is the least
 (id, position), so one copy of everything stays.
 
-Only (hash, id, position) rows shuffle, and the texts once, where their verdicts reach them. A span that a third of all texts
-hold is one row a task after partial aggregation; the join that follows may split it.
+Only (hash, id, position) rows shuffle, and the texts that lose something: a Bloom filter of their ids (bloom.py) lets all
+others pass straight through, at every size. A span that a third of all texts hold is one row a task after partial
+aggregation; the join that follows may split it.
 
 Defined cases: case (A-Z) and the amount of white space within a sentence don't count; null and empty texts have no
 sentences and stay as they are; texts without a repeated span keep every byte; others lose their sentences with the
-white space that follows; rows that repeat an id are cut alike; an empty table gives an empty result; extra columns
-pass through.
+white space that follows; rows that repeat an id are cut alike, at the places that repeat in any of them; rows of null ids
+stay as they are; an empty table gives an empty result; other columns, of whatever name, keep their values.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, cut
+from . import bloom
+from .common import WORD, ascii_lower, cut, packed
 
-RUN, LEAST_WORDS = 2, 12
+#: Passages of over 50 words are looked for; of those, what lies in whole sentences must hold LEAST_WORDS.
+RUN, LEAST_WORDS = 2, 30
 #: A sentence and the white space that follows it.
 SENTENCE = r"(?s)\s*\S.*?(?:[.!?]+(?=\s|$)|(?=\n)|$)\s*"
 
@@ -75,16 +78,17 @@ def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
 
 
 def sentence_dedup(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col cut, and n_sentences, n_removed, words_removed."""
+    """docs with text_col cut, and n_sentences, n_removed, words_removed (which replace columns of these names)."""
     marks = cut(repeated(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, least_words), "span-repeats")
-    marks = marks.select(F.col("id").alias("_id"), F.col("places").alias("_places"))
-    # one plan at every size: a broadcast of few marks would say nothing of many
-    rows = docs.join(marks.hint("merge"), F.col(id_col).cast("long") == F.col("_id"), "left").withColumn("_all", sentences(F.col(text_col)))
-    gone = F.array_distinct(F.flatten(F.transform("_places", lambda p: F.sequence(_start(p), _start(p) + _length(p) - 1))))
-    rows = rows.withColumn("_gone", F.when(F.col("_places").isNull(), F.expr("cast(array() as array<int>)")).otherwise(gone))
-    kept = F.filter("_all", lambda s, i: ~F.array_contains(F.col("_gone"), i + 1))
-    lost = F.filter("_all", lambda s, i: F.array_contains(F.col("_gone"), i + 1))
-    cut_text = F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, ""))
-    words = F.when(F.size("_gone") == 0, F.lit(0)).otherwise(F.regexp_count(F.array_join(lost, " "), F.lit(WORD)))
-    own = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "words_removed")]
-    return rows.select(*[cut_text.alias(c) if c == text_col else F.col(c) for c in own], F.size("_all").cast("long").alias("n_sentences"), F.size("_gone").cast("long").alias("n_removed"), words.cast("long").alias("words_removed"))
+    apart, near = bloom.split(docs.select(packed(docs), F.col(id_col).cast("long").alias("key")), marks.select(F.col("id").alias("key")))
+    near = near.join(marks.hint("merge"), F.col("key") == F.col("id"), "left").select("own", "places")
+    rows = apart.select("own", F.lit(None).cast("array<bigint>").alias("places")).unionByName(near).withColumn("all", sentences(F.col("own")[text_col]))
+    gone = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(_start(p), _start(p) + _length(p) - 1))))
+    rows = rows.withColumn("gone", F.when(F.col("places").isNull(), F.expr("cast(array() as array<int>)")).otherwise(gone))
+    kept = F.filter("all", lambda s, i: ~F.array_contains(F.col("gone"), i + 1))
+    lost = F.filter("all", lambda s, i: F.array_contains(F.col("gone"), i + 1))
+    text = F.when(F.size("gone") == 0, F.col("own")[text_col]).otherwise(F.array_join(kept, ""))
+    words = F.when(F.size("gone") == 0, F.lit(0)).otherwise(F.regexp_count(F.array_join(lost, " "), F.lit(WORD)))
+    made = F.struct(text.alias("text"), F.size("all").cast("long").alias("n_sentences"), F.size("gone").cast("long").alias("n_removed"), words.cast("long").alias("words_removed"))
+    rows, counts = rows.select("own", made.alias("made")), ("n_sentences", "n_removed", "words_removed")
+    return rows.select(*[(F.col("made")["text"] if c == text_col else F.col("own")[c]).alias(c) for c in docs.columns if c.lower() not in counts], *[F.col("made")[c].alias(c) for c in counts])
