@@ -1,20 +1,22 @@
 """Embedding near-dedup by sorted projection passes.
 
 Each pass gives every vector a key of random hyperplane signs (KEY_BITS bits, another seed a pass) and orders all
-vectors by it. Vectors that are close mostly share a long prefix, so each is compared with the WINDOW that follow it. A
-range partition's ends are handed on, so that windows run across partitions. Pairs are verified in double precision and
-collected over the passes; they give the components.
+vectors by it. Vectors that are close mostly share a long prefix, so each is compared with the WINDOW that follow it. The
+order is made of thin (pass, key, id) rows, whose places are numbered across partitions; stretches of SPAN places then get their
+vectors, and the first WINDOW of the next stretch with them, so that no window ends at a border. Pairs are verified in double
+precision and collected over the passes, GROUP of them at a time; they give the components.
 
 Windows bound what a pass compares, so they don't count the links of groups denser than a window. Therefore each component
 is compared whole afterwards, block against block, which gives counts a vector and no pairs: n_links is exact within components.
 A component of n vectors takes n * n / 2 products.
 
-Equal vectors are one vector with a count, so a group of copies costs as much as a single one. A pass takes no more memory
-than a partition's batch and a window, a comparison of blocks no more than two blocks.
+Equal vectors are one vector with a count, so a group of copies costs as much as a single one. A task holds one stretch
+or two blocks. Vectors shuffle in the element type they have, once for each pass.
 
 Defined cases: vectors that are null, empty, zero, of another length than the partner, or that hold null or
-non-finite components link with nothing and are kept; of repeated rows of an id one counts; ties in a key go by id; an
-empty table gives an empty result; other columns aren't read.
+non-finite components link with nothing and are kept; of rows that repeat an id that of the least digest counts for all of
+them; null ids link with nothing and are kept; ties in a key go by id; an empty table gives an empty result; other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -23,123 +25,111 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions
 from .components import components
 
 PASSES, KEY_BITS, WINDOW = 24, 48, 128
+#: Places of one task, and passes of one job.
+SPAN, GROUP = 2048, 8
 #: Components up to SMALL vectors are one block; larger ones up to SPREAD blocks, and more where a block would exceed BLOCK.
 SMALL, SPREAD, BLOCK = 256, 8, 8192
 
 
-def _keyed(reps: DataFrame, passes: int) -> DataFrame:
-    """reps(id, v) -> (pass, key, id, v) with a sign-hash key for each pass."""
+def _keyed(reps: DataFrame, passes: range) -> DataFrame:
+    """reps(id, v) -> (pass, key, id): a sign-hash key for each pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            dims = np.array([len(v) for v in vectors])
+            ids, dims = batch.column(0).to_numpy(zero_copy_only=False), np.diff(batch.column(1).offsets.to_numpy())
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                x = np.array([vectors[i] for i in at.tolist()], dtype=np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)  # lengths of huge components stay finite
+                x = _matrix(batch.column(1).take(pa.array(at)), dim)
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(dim).standard_normal((dim, passes * KEY_BITS))
-                signs = (x @ planes[dim] > 0).reshape(len(at), passes, KEY_BITS)
+                    planes[dim] = np.stack([np.random.default_rng((dim, p)).standard_normal((dim, KEY_BITS)) for p in passes], axis=1).reshape(dim, -1)
+                signs = (x @ planes[dim] > 0).reshape(len(at), len(passes), KEY_BITS)
                 keys = signs @ (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
-                flat = pa.array(np.tile(np.arange(passes, dtype=np.int32), len(at)))
-                own = np.repeat(at, passes)
-                yield pa.RecordBatch.from_arrays([flat, pa.array(keys.reshape(-1)), pa.array(ids[own]), batch.column(1).take(pa.array(own))], ["pass", "key", "id", "v"])
+                tags = np.tile(np.array(passes, dtype=np.int32), len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(keys.reshape(-1)), pa.array(np.repeat(ids[at], len(passes)))], ["pass", "key", "id"])
 
-    return reps.mapInArrow(run, "pass int, key long, id long, v array<double>")
+    return reps.mapInArrow(run, "pass int, key long, id long")
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def _close(ids: list[int], vectors: list, tags: list, least: float, window: int, split: int | None = None) -> tuple[list[int], list[int]]:
-    """Pairs of close vectors at most `window` apart in this order, of one tag and length; split: only pairs across it."""
-    a, b = [], []
-    dims = [len(v) for v in vectors]
-    for lo in range(0, len(ids), 1024):
-        hi, end = min(lo + 1024, len(ids)), min(lo + 1024 + window, len(ids))
-        for tag, dim in sorted({(tags[i], dims[i]) for i in range(lo, hi)}):
-            rows = [i for i in range(lo, hi) if tags[i] == tag and dims[i] == dim]
-            cols = [i for i in range(lo, end) if tags[i] == tag and dims[i] == dim]
-            sims = _unit([vectors[i] for i in rows]) @ _unit([vectors[i] for i in cols]).T
-            gap = np.array(cols)[None, :] - np.array(rows)[:, None]
-            ok = (sims >= least) & (gap > 0) & (gap <= window)
-            for r, c in zip(*np.nonzero(ok), strict=True):
-                i, j = rows[r], cols[c]
-                if ids[i] != ids[j] and (split is None or i < split <= j):
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-    return a, b
-
-
-def _scan(keyed: DataFrame, least: float, window: int) -> DataFrame:
-    """Pairs within the sorted partitions, and each partition's ends: (a, b) or (place, order, tag, id, v)."""
-    schema = "a long, b long, place int, ord long, tag int, id long, v array<double>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
-        tags, ids, vectors = [], [], []
-
-        def batch_of(a, b, place, first, t, i, v):
-            n, m = len(a), len(i)
-            cols = [(a + [None] * m, pa.int64()), (b + [None] * m, pa.int64()), ([None] * n + [place] * m, pa.int32()), ([None] * n + list(range(first, first + m)), pa.int64()), ([None] * n + t, pa.int32()), ([None] * n + i, pa.int64()), ([None] * n + v, pa.list_(pa.float64()))]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in cols], [x.split()[0] for x in schema.split(", ")])
+def _matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    """Vectors of one length as rows of doubles, the largest component of each 1, so that lengths of huge ones stay finite."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return x / np.abs(x).max(axis=1, keepdims=True)
 
-        for batch in batches:
-            tags += batch.column(0).to_pylist()
-            ids += batch.column(2).to_pylist()
-            vectors += batch.column(3).to_pylist()
-            if not seen:
-                yield batch_of([], [], part, 1 << 20, tags[:window], ids[:window], vectors[:window])  # after what the one before hands on
-            old = len(ids) - batch.num_rows
-            a, b = _close(ids, vectors, tags, least, window)
-            yield batch_of(a, b, part, 0, [], [], [])
-            tags, ids, vectors = tags[-window:], ids[-window:], vectors[-window:]
-            seen += len(ids) - old
-        if ids:
-            yield batch_of([], [], part + 1, 0, tags, ids, vectors)
 
-    return keyed.select("pass", "key", "id", "v").mapInArrow(run, schema)
+def _unit(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    x = _matrix(vectors, dim)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _seams(ends: DataFrame, least: float, window: int) -> DataFrame:
-    """Pairs across the borders of partitions, from the at most two windows that meet there."""
+def _stretches(keyed: DataFrame, span: int, window: int) -> DataFrame:
+    """keyed(pass, key, id) -> (stretch, at, pass, id): places in the one order, and whose they are; a stretch begins with the end of its lookahead."""
+    spark = keyed.sparkSession
+    in_order = keyed.repartitionByRange(partitions(spark), "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
+    in_order = cut(in_order.select("pass", "id", F.monotonically_increasing_id().alias("row")), "embed-order")
+    part = F.shiftright("row", 33)
+    sums = in_order.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each partition
+    starts = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    placed = in_order.withColumn("part", part).join(F.broadcast(starts), "part").select("pass", "id", (F.col("start") + F.col("row").bitwiseAND((1 << 33) - 1)).alias("at"))
+    own = F.expr(f"at div {span}")
+    both = F.when((F.col("at") % span < window) & (F.col("at") >= span), F.array(own, own - 1)).otherwise(F.array(own))
+    return placed.select(F.explode(both).alias("stretch"), "at", "pass", "id")
+
+
+def _close(stretches: DataFrame, least: float, span: int, window: int) -> DataFrame:
+    """stretches(stretch, at, pass, id, v) -> (a, b), a < b: close vectors at most `window` places apart in a pass."""
+
+    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        at, tag, ids = (rows.column(k).to_numpy() for k in ("at", "pass", "id"))
+        v, stretch = rows.column("v").chunk(0), rows.column("stretch")[0].as_py()
+        dims, found = np.diff(v.offsets.to_numpy()), []
+        for dim in np.unique(dims).tolist():
+            which = np.flatnonzero(dims == dim)  # ascending places
+            x, places, tags, names = _unit(v.take(pa.array(which)), dim), at[which], tag[which], ids[which]
+            inside = int(np.searchsorted(places, (stretch + 1) * span))
+            for lo in range(0, inside, 256):
+                hi = min(lo + 256, inside)
+                end = int(np.searchsorted(places, places[hi - 1] + window, "right"))
+                gap = places[None, lo:end] - places[lo:hi, None]
+                ok = (x[lo:hi] @ x[lo:end].T >= least) & (gap > 0) & (gap <= window) & (tags[None, lo:end] == tags[lo:hi, None])
+                i, j = np.nonzero(ok)
+                found.append(np.stack([names[lo + i], names[lo + j]]))
+        both = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.empty((2, 0), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        place = None
-
-        def flush():
-            split = next((k for k, r in enumerate(rows) if r[0] >= 1 << 20), len(rows))
-            return _close([r[2] for r in rows], [r[3] for r in rows], [r[1] for r in rows], least, window, split)
-
-        for batch in batches:
-            out_a, out_b = [], []
-            for p, o, t, i, v in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if p != place:
-                    a, b = flush()
-                    out_a += a
-                    out_b += b
-                    place, rows = p, []
-                rows.append((o, t, i, v))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-        a, b = flush()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    rows = ends.select("place", "ord", "tag", "id", "v").repartition(partitions(ends.sparkSession), "place").sortWithinPartitions("place", "ord")
-    return rows.mapInArrow(run, "a long, b long")
+        for parts in _groups(batches, 1):
+            yield pairs(parts)
+
+    rows = stretches.select("stretch", "at", "pass", "id", "v").repartition(partitions(stretches.sparkSession), "stretch").sortWithinPartitions("stretch", "at")
+    return rows.mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Sorted rows in pieces of equal values of the first so many columns, which are longs or ints."""
+    parts: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        values = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
+        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            if lo == hi:
+                continue
+            if parts and tuple(values[lo]) != key:
+                yield parts
+                parts = []
+            key = tuple(values[lo])
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield parts
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -158,9 +148,7 @@ def _links(members: DataFrame, least: float) -> DataFrame:
     def count(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         unit = pa.Table.from_batches(parts).combine_chunks()
         side, ids, copies = (unit.column(k).to_numpy() for k in ("side", "id", "copies"))
-        x = pa.concat_arrays([v.flatten() for v in unit.column("v").chunks]).to_numpy().reshape(len(ids), -1)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = _unit(unit.column("v").chunk(0), len(unit.column("v")[0]))
         one = parts[0].column("i")[0] == parts[0].column("j")[0]
         rows = np.arange(len(ids)) if one else np.flatnonzero(side == 0)
         cols = rows if one else np.flatnonzero(side == 1)
@@ -178,44 +166,36 @@ def _links(members: DataFrame, least: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near)], ["rep", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if parts and tuple(keys[lo]) != key:
-                    yield count(parts)
-                    parts = []
-                key = tuple(keys[lo])
-                parts.append(batch.slice(lo, hi - lo))
-        if parts:
+        for parts in _groups(batches, 3):
             yield count(parts)
 
     rows = _blocks(members).repartition(partitions(members.sparkSession), "c", "i", "j").sortWithinPartitions("c", "i", "j")
     return rows.mapInArrow(run, "rep long, near long").groupBy("rep").agg(F.sum("near").alias("near"))
 
 
-def embed_dedup(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embed_dedup(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW, span: int = SPAN, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    if window > span:
+        raise ValueError("a window must fit in a span")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    kind = rows.schema["v"].dataType.elementType.simpleString()
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{kind if kind == 'float' else 'double'}>"))
     usable = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one number; the digest stands for the vector
     key = F.unhex(F.sha2(F.array_join(F.transform("v", lambda x: F.hex((x + 0.0).cast("string"))), ","), 256))
-    thin = cut(rows.where(usable & F.col("id").isNotNull()).dropDuplicates(["id"]).withColumn("k", key), "embed-keys")
+    thin = rows.where(usable & F.col("id").isNotNull()).withColumn("k", key).groupBy("id").agg(F.min("k").alias("k"), F.min_by("v", "k").alias("v"))
+    thin = cut(thin, "embed-keys")
     classes = cut(thin.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "embed-classes")
-    reps = thin.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "v")
-    keyed = _keyed(reps, passes).repartitionByRange(partitions(spark), "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
-    scanned = cut(_scan(keyed, least, window), "embed-scan")
-    inside = scanned.where("a is not null").select("a", "b")
-    pairs = cut(inside.unionByName(_seams(scanned.where("place is not null"), least, window)).distinct(), "embed-pairs")
+    reps = cut(thin.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "v"), "embed-reps")
+    pairs = None
+    for lo in range(0, passes, GROUP):
+        stretches = _stretches(_keyed(reps, range(lo, min(lo + GROUP, passes))), span, window)
+        found = cut(_close(stretches.join(reps, "id"), least, span, window).distinct(), "embed-pairs")
+        pairs = found if pairs is None else pairs.unionByName(found)
     joined = components(pairs)
     members = reps.join(classes.select(F.col("rep").alias("id"), "copies"), "id").join(joined.select(F.col("node").alias("id"), F.col("component").alias("c")), "id")
     near = _links(cut(members, "embed-members"), least)
     found = thin.select("id", "k").join(classes, "k").join(near, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    found = found.select(F.col("id").alias("_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.select("id").join(found, F.col("id") == F.col("_id"), "left")
+    found = found.select(F.col("id").alias("own"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n"), F.coalesce("component", "rep").alias("c"))
+    out = rows.select("id").join(found, F.col("id") == F.col("own"), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"))
