@@ -3,7 +3,8 @@
 encode: the distinct words of the whole corpus are counted (partial aggregation first). Those that occur most, HOT_WORDS
 at most, are folded once and written as a word table to the shared folder. Each text is then split and looked up in
 one Arrow pass per document, which leaves gaps for words that the table lacks; those are folded where they stand, by
-the same expression. So no text and no position is ever shuffled, what a worker holds is bounded, and the result
+the same expression, but for words of more than LONG characters (blobs, rules of dashes), which the Arrow pass folds with a heap
+in n log n. So no text and no position is ever shuffled, what a worker holds is bounded, and the result
 doesn't depend on which words are in the table.
 
 The rank map is a literal: the rank of each mergeable pair of pieces, as a perfect-hash table in one array of longs
@@ -14,13 +15,14 @@ the new pairs after each merge.
 decode concatenates the binary pieces of the ids.
 
 Defined cases: null and empty texts have no tokens (ids is the empty string); the pattern's classes are Unicode's;
-special tokens don't exist; repeated rows are encoded one by one; words of any length are folded (time grows with the
-square of a word's length); other columns pass through, one named like the output is replaced.
+special tokens don't exist; repeated rows are encoded one by one; an empty table gives an empty result; other columns keep their
+values whatever their names, one named like the output is replaced.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.classic.column import Column as ClassicColumn
 
-from .common import cut, shared_dir
+from .common import cut, opened, packed, shared_dir
 from .shingles import sliced
 
 #: Bounds of the word table: words, and bytes of a word. Only speed depends on them.
 HOT_WORDS, HOT_BYTES = 800_000, 24
+#: Words of more characters are folded with a heap, in time n log n; the fold over arrays takes time that grows with the square.
+LONG = 64
 
 
 @lru_cache(maxsize=4)
@@ -177,7 +181,7 @@ def _table(uri: str) -> dict[str, str]:
     """word -> ids joined by spaces, from the shared folder; a task holds it no longer than it runs."""
     import pyarrow.parquet as pq
 
-    fs, path = pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+    fs, path = opened(uri)
     table: dict[str, str] = {}
     for info in fs.get_file_info(pa.fs.FileSelector(path)):
         if info.path.endswith(".parquet"):
@@ -186,25 +190,64 @@ def _table(uri: str) -> dict[str, str]:
     return table
 
 
-def _gapped(docs: DataFrame, uri: str, pattern: str, text_col: str) -> DataFrame:
-    """docs with `_g`: the ids of each text as strings, cut at the words that the table lacks, and those words."""
-    names = docs.columns
+def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word of any length in n log n: a heap of mergeable pairs over a linked list of pieces.
+
+    A heap entry is (rank, start of the left piece); it is stale unless the pair that starts there still has this rank.
+    """
+    size = len(word)
+    end, before = list(range(1, size + 1)), list(range(-1, size - 1))  # of the piece that starts here; end 0: merged away
+    heap = [(rank, i) for i in range(size - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = end[i]
+        if not j or j == size or ranks.get(word[i : end[j]]) != rank:
+            continue
+        k = end[i] = end[j]
+        end[j] = 0
+        if k < size:
+            before[k] = i
+            if (after := ranks.get(word[i : end[k]])) is not None:
+                heapq.heappush(heap, (after, i))
+        h = before[i]
+        if h >= 0 and (ahead := ranks.get(word[h:k])) is not None:
+            heapq.heappush(heap, (ahead, h))
+    out, i = [], 0
+    while i < size:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+def _gapped(docs: DataFrame, uri: str, ranks: dict[bytes, int], pattern: str, text_col: str) -> DataFrame:
+    """(own, g): docs' columns as a struct, and the ids of each text as strings, cut at the words that the table lacks, and those words."""
+    at, rows, known = docs.columns.index(text_col), docs.select(packed(docs)), docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, find = None, regex.compile(pattern).findall
+
+        def ids_of(word: str) -> str | None:
+            found = table.get(word)
+            if found is None and len(word) > LONG:
+                found = " ".join(map(str, fold_long(word.encode(), known.value)))
+            return found
+
         for batch in sliced(batches):
             table = _table(uri) if table is None else table
             segs, rest = [], []
-            for text in batch.column(names.index(text_col)):
+            for text in batch.column(0).field(at):
                 found = find(text.as_py() or "")
                 ids = list(map(table.get, found))
-                gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+                if None in ids:
+                    ids = [ids_of(w) if x is None else x for w, x in zip(found, ids, strict=True)]
+                gaps = [i for i, x in enumerate(ids) if x is None]
                 segs.append([" ".join(ids[i:j]) for i, j in zip([0, *(i + 1 for i in gaps)], [*gaps, len(ids)], strict=True)])
                 rest.append([found[i] for i in gaps])
             g = pa.StructArray.from_arrays([pa.array(segs, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string()))], ["segs", "rest"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, g], [*names, "_g"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), g], ["own", "g"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string("_g struct<segs:array<string>,rest:array<string>>").fields]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T._parse_datatype_string("g struct<segs:array<string>,rest:array<string>>").fields]))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", hot_words: int = HOT_WORDS) -> DataFrame:
@@ -216,24 +259,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     hot = hot_part(counted, hot_words).select("word").repartition(max(2, spark.sparkContext.defaultParallelism))
     uri = shared_dir(spark, "bpe-table")
     hot.select("word", joined(F.col("word")).alias("ids")).write.parquet(uri)
-    filled = F.zip_with("_g.segs", F.transform("_g.rest", joined), lambda seg, ids: F.array(seg, ids))
-    gapped = _gapped(docs.drop(out), uri, pattern, text_col)
-    return gapped.withColumn(out, F.array_join(F.filter(F.flatten(filled), lambda x: x != ""), " ")).drop("_g")
+    filled = F.zip_with("g.segs", F.transform("g.rest", joined), lambda seg, ids: F.array(seg, ids))
+    gapped = _gapped(docs.drop(out), uri, ranks, pattern, text_col)
+    return gapped.select("own", F.array_join(F.filter(F.flatten(filled), lambda x: x != ""), " ").alias("made")).select("own.*", F.col("made").alias(out))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the bytes of the pieces of `ids`, one after the other, in column `out`; null ids give null."""
     pieces = {str(rank): token for token, rank in ranks.items()}
-    kept = [c for c in encoded.columns if c != out]
+    kept = encoded.drop(out)
+    rows, at = kept.select(packed(kept)), kept.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = batch.column(kept.index(ids))
-            found = [b"".join(map(pieces.__getitem__, x.as_py().split())) if x.is_valid else None for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*kept, out])
+            found = [b"".join(map(pieces.__getitem__, x.as_py().split())) if x.is_valid else None for x in batch.column(0).field(at)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["own", "bytes"])
 
-    own = encoded.select(*kept)
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(out, T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("bytes", T.BinaryType())])).select("own.*", F.col("bytes").alias(out))
 
 
 def n_ids(ids: Column) -> Column:
