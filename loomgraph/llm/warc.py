@@ -9,7 +9,7 @@ Files go to the shared folder by its URI (file:, hdfs:, s3: ..., whatever Arrow
 and get their final name when complete, so a repeated task leaves the same file.
 
 Defined cases: a null payload is empty; null urls are written as an empty target; ids that repeat keep one record a
-row; an empty table gives no archives and an empty result; extra columns are left alone; payloads of any length are held
+row; a null id is less than any other, its record has a name without an id and comes back as null; an empty table gives no archives and an empty result; extra columns are left alone; payloads of any length are held
 one at a time.
 """
 
@@ -25,20 +25,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, shared_dir
+from . import bloom
+from .common import cut, opened, partitions, shared_dir
 
 CHUNK = 1 << 20
 #: Fast compression: archives are written twice and read twice.
 LEVEL = 1
 
 
-def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -50,9 +47,9 @@ def record(kind: str, headers: dict[str, object], block: bytes) -> bytes:
     return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def page_record(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """The response record of a page, or its revisit of another page with the same payload."""
-    name = lambda i: f"<urn:page:{i}>"
+    name = lambda i: f"<urn:page:{'' if i is None else i}>"
     headers = {"WARC-Record-ID": name(page), "WARC-Target-URI": url or "", "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Payload-Digest": f"sha1:{digest(payload)}", "Content-Type": "application/http;msgtype=response"}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None:
@@ -114,22 +111,41 @@ class Whole:
         self.out = self.fs.open_output_stream(self.own)
 
     def close(self) -> None:
+        """Give the file its name; where another attempt was quicker, its equal file stays (HDFS refuses to move onto a name)."""
         self.out.close()
-        self.fs.move(self.own, f"{self.folder}/{self.name}")
+        name = f"{self.folder}/{self.name}"
+        try:
+            if self.fs.get_file_info(name).type == pa.fs.FileType.NotFound:
+                self.fs.move(self.own, name)
+                return
+        except OSError:
+            if self.fs.get_file_info(name).type == pa.fs.FileType.NotFound:
+                raise
+        self.fs.delete_file(self.own)
 
 
-def choose_responses(pages: DataFrame, least: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(id, refers_to) of every page: null for a response, else the id of the response with the same payload."""
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    thin = cut(pages.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha1(payload)).alias("key"), F.octet_length(payload).alias("size")), "warc-keys")
-    largest = thin.where(F.col("size") >= least).groupBy("key").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top")
-    return thin.join(largest, "key", "left").select("id", F.when((F.col("size") >= least) & (F.col("id") < F.col("top")), F.col("top")).alias("refers_to"))
+def choose_responses(pages: DataFrame, least: int = 0) -> DataFrame:
+    """pages(id, digest, size) -> (key, refers_to) of the rows that revisit another; key is row_key's."""
+    largest = pages.where(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null")
+    thin = pages.where(F.col("size") >= least).join(largest.select("digest", "top"), "digest")
+    return thin.where(~F.col("id").eqNullSafe(F.col("top"))).select(row_key(F.col("id"), F.col("digest")).alias("key"), F.col("top").alias("refers_to")).distinct()
+
+
+def row_key(page: Column, sha1: Column) -> Column:
+    """Stands for the rows of an id with one payload."""
+    return F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("-")), F.hex(sha1))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Monolithic archives of all pages in `folder`; returns (name, records) of each."""
-    revisits = choose_responses(pages, least, id_col, payload_col).where("refers_to is not null").distinct()
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).join(revisits, "id", "left")
+    """Monolithic archives of all pages in `folder`; returns (name, records) of each. Only pages that may be revisits are shuffled."""
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    sha1 = F.unhex(F.sha1("payload"))
+    thin = cut(rows.select("id", sha1.alias("digest"), F.octet_length("payload").alias("size")), "warc-keys")
+    revisits = cut(choose_responses(thin, least), "warc-revisits")
+    apart, near = bloom.split(rows.withColumn("key", row_key(F.col("id"), sha1)), revisits.select("key"))
+    near = near.join(revisits.hint("merge"), "key", "left").select("id", "url", "payload", "refers_to")
+    rows = apart.select("id", "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, z, count, name = None, zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, f"part-{TaskContext.get().partitionId():06d}.warc.gz"
@@ -176,7 +192,7 @@ def read_back(names: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = opened(folder)
-        number = lambda urn: int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn else None
+        number = lambda urn: int(urn[len("<urn:page:") : -1]) if urn and urn != "<urn:page:>" else None
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for name in batch.column(0).to_pylist():
