@@ -4,13 +4,15 @@ Words unique to both sides anchor the alignment; the longest increasing subseque
 them are aligned in the same way, after equal words at their ends are matched. Coverage is the share of the template's
 words that are aligned.
 
-A template is only looked for where it can reach the least coverage: around its rare words (all but COMMON ones), in
-windows of twice its length. An alignment of that coverage must hold so many rare words close together, so nothing is
-lost within windows, and texts without them cost one look-up a word.
-
-Defined cases: null, empty and blank texts have no license; of equal coverage the longer template, then the smaller
-name, then the earlier place wins; a text that repeats a notice counts once; repeated rows are scanned one by one; an
-empty table gives an empty result; extra columns are left alone.
+The whole text is aligned with every template that it can hold: an alignment of the least coverage leaves few of the template's
+words out, so it needs most of its rare words (all but COMMON ones), and a text that lacks them is passed over at one look-up a word.
+Anchors must be unique to the text, which they aren't where a notice stands twice or its words recur; so stretches of
+three template lengths around those rare words are aligned as well, and the best alignment counts.
+
+Defined cases: null, empty and blank texts have no license; of equal coverage the shorter stretch, then the earlier place wins within
+a template, and between templates the longer one, then the smaller name; a text that repeats a notice counts once, and a match within that of a better one of another template
+doesn't; repeated rows are
+scanned one by one; an empty table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -24,20 +26,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Public license notices, in the wording their stewards recommend.
+from .shingles import sliced
+
+#: Public license notices and bodies, in the wording their stewards recommend.
 TEMPLATES = {
+    "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
     "MIT": "Released under the MIT License.",
+    "MIT-body": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 #: Template words that ordinary prose uses often.
-COMMON = frozenset("a an and any are as at by can following for free in is it may not of on or out person source that the this to under use version with without work you your".split())
+COMMON = frozenset("a all an and any are as at be but by can do following for free from has if in into is it its may must no not of on one or other out person source such that the this to under use version will with without work you your".split())
 LEAST = 0.8
 MATCH = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
@@ -101,8 +116,29 @@ class Scanner:
         for k, rare in enumerate(self.rare):
             for w in rare:
                 self.owners.setdefault(w, []).append(k)
-        # words that an alignment of the least coverage can't do without
-        self.needs = [max(1, -(-int(least * 1000 * len(w)) // 1000) - sum(x in COMMON for x in w)) for _, w in self.templates]
+        # different rare words that an alignment of the least coverage can't do without: it leaves so many words out at most
+        self.needs = [max(1, len(rare) - int(len(w) * (1 - least) + 1e-9)) for rare, (_, w) in zip(self.rare, self.templates, strict=True)]
+
+    def stretches(self, words: list[str], k: int, at: list[int]) -> Iterator[tuple[int, int]]:
+        """Where template k may stand: the whole text, and stretches whose rare words (at these places) are enough."""
+        yield 0, len(words)
+        length, need = len(self.templates[k][1]), self.needs[k]
+        seen: Counter[str] = Counter()
+        start, end, last = 0, 0, None
+        for i in at:
+            while end < len(at) and at[end] < i + 2 * length:
+                seen[words[at[end]]] += 1
+                end += 1
+            while at[start] < i - length:
+                word = words[at[start]]
+                seen[word] -= 1
+                if not seen[word]:
+                    del seen[word]
+                start += 1
+            found = max(0, i - length), min(len(words), i + 2 * length)
+            if len(seen) >= need and found not in (last, (0, len(words))):
+                last = found
+                yield found
 
     def scan(self, text: str | None) -> tuple[list[tuple[str, float, int, int]], int]:
         """The best (name, coverage, first word, end word) of each template that is found, and the words of the text."""
@@ -113,23 +149,20 @@ class Scanner:
                 hits.setdefault(k, []).append(i)
         found = []
         for k in sorted(hits):
-            best = None
+            if len({words[i] for i in hits[k]}) < self.needs[k]:
+                continue
             name, template = self.templates[k]
-            reach, at, need = 2 * len(template), hits[k], self.needs[k]
-            i = 0
-            while i + need <= len(at):
-                if at[i + need - 1] - at[i] >= reach:
-                    i += 1
-                    continue
-                lo, hi = max(0, at[i] - len(template)), min(len(words), at[i] + reach)
+            best = None
+            for lo, hi in self.stretches(words, k, hits[k]):
                 pairs = align(words[lo:hi], template)
                 covered = len(pairs) / len(template)
-                if covered >= self.least and (best is None or covered > best[1]):
-                    best = (name, covered, lo + pairs[0][0], lo + pairs[-1][0] + 1)
-                i += 1
+                if covered >= self.least:
+                    start, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
+                    best = min(best or (2.0,), (-covered, end - start, start))
             if best:
-                found.append(best)
-        return found, len(words)
+                found.append((name, -best[0], best[2], best[2] + best[1]))
+        # a lesser match within a better one is the same notice, read as another license
+        return [m for m in found if not any(o[1] > m[1] and o[2] <= m[2] and m[3] <= o[3] for o in found)], len(words)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +170,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, least)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [scanner.scan(t.as_py()) for t in batch.column(1)]
             best = [max(m, key=lambda x: x[1], default=(None, 0.0, None, None)) for m, _ in found]  # the first of equals
             cols = [pa.array([n for _, n in found], pa.int64())]

@@ -1,7 +1,8 @@
 """URL filter: host and path rules first, then a character language-model ratio.
 
 Two variable-order Markov models, of accepted and of rejected URLs, are counted over all URLs whose class is known from
-seed terms in the host: every window of ORDER + 1 characters of `host path` by partial aggregation, and every shorter
+seed terms in the host or from an allow rule (a block rule says nothing of a URL's text, so what it blocks counts as accepted for
+neither): every window of ORDER + 1 characters of `host path` by partial aggregation, and every shorter
 run by the different characters seen before it. A character's probability is interpolated from the longest context that was
 seen down to the uniform one (Witten-Bell weights). A URL's score is the log-likelihood of the rejected model less that of
 the accepted one, divided by its length. The threshold is calibrated on held-back accepted URLs, so that about
@@ -12,8 +13,8 @@ the run's suffix, and the windows of the URLs with the longest order. Nothing of
 capped. A window that a third of all URLs hold is one row of the models; the join with it can be split by Spark. Log ratios are
 summed as whole numbers (SCALE), so that a score doesn't depend on the order of the rows.
 
-Defined cases: a null url, or one without `://`, has empty host and path and is allowed unless a rule fits; equal urls get
-equal verdicts; without URLs of both classes the method allows everything; an empty table gives an empty result;
+Defined cases: a null url, or one without `://`, has empty host and path and is allowed unless a rule fits; one with a path but no
+host (`http:///x`) is judged by the method; equal urls get equal verdicts; without URLs of both classes the method allows everything; an empty table gives an empty result;
 extra columns are left alone; repeated rows are judged one by one.
 """
 
@@ -28,7 +29,7 @@ from .common import LOWER, UPPER, cut
 
 ORDER, FALSE_BLOCKS, SCALE = 5, 0.002, 1 << 32
 #: Host words that mark a URL as one to reject when the models are fitted.
-SEEDS = ["adult", "ads", "bets", "bet", "casino", "farm", "pills", "poker", "porn", "spam", "tracker", "track", "viagra", "xxx"]
+SEEDS = ["adult", "ads", "bets", "bet", "casino", "clickbait", "malware", "phishing", "pills", "poker", "porn", "spam", "tracker", "viagra", "xxx"]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -93,9 +94,9 @@ def log_ratios(counts: list[DataFrame], alphabet: int) -> DataFrame:
 
 
 def score(rows: DataFrame, seeds: list[str] = SEEDS) -> tuple[DataFrame | None, float]:
-    """(row, score) of rows(row, host, path), and the threshold; None if a class has no row."""
+    """(row, score) of rows(row, host, path, kind), and the threshold; None if a class has no row. kind: what a rule says, or null."""
     terms = F.when(F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, seeds))), 1).otherwise(0)
-    rows = rows.withColumn("text", _text(F.col("host"), F.col("path"))).withColumn("cls", F.when(F.col("host") != "", terms)).withColumn("back", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
+    rows = rows.withColumn("text", _text(F.col("host"), F.col("path"))).withColumn("cls", F.when(F.col("kind") == "allow", 0).when((F.col("host") != "") & ((F.col("kind").isNull()) | (terms == 1)), terms)).withColumn("back", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
     counts = count_runs(rows.select("text", F.when(~F.col("back"), F.col("cls")).alias("cls")))
     n, a, r = counts[0].agg(F.count("*"), F.sum("a"), F.sum("r")).first()
     if not a or not r:
@@ -112,12 +113,13 @@ def score(rows: DataFrame, seeds: list[str] = SEEDS) -> tuple[DataFrame | None,
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], seeds: list[str] = SEEDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict, score. rules: (allow or block, `host/path start`)."""
     host, path = host_path(F.col(url_col).cast("string"))
-    rows = cut(pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")), "url-parts")
-    scores, edge = score(rows.select("row", "host", "path"), seeds)
+    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    kind = F.lit(None).cast("string")
+    for verdict, rule in rules:
+        kind = F.when(F.col("rule") == rule, verdict).otherwise(kind)
+    rows = cut(rows.withColumn("kind", kind), "url-parts")
+    scores, edge = score(rows.select("row", "host", "path", "kind"), seeds)
     found = rows.withColumn("score", F.lit(0.0)) if scores is None else rows.join(scores, "row")
-    found = found.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.when(F.col("score") > edge, "block").otherwise("allow")
-    for kind, rule in rules:
-        verdict = F.when(F.col("rule") == rule, kind).otherwise(verdict)
-    judged = F.when((F.col("host") == "") & F.col("rule").isNull(), "allow").otherwise(verdict)
-    return found.select(id_col, "host", "path", "rule", judged.alias("verdict"), "score")
+    method = F.when((F.col("host") == "") & (F.col("path") == ""), "allow").when(F.col("score") > edge, "block").otherwise("allow")
+    return found.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("kind", method).alias("verdict"), "score")
