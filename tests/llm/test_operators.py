@@ -239,7 +239,7 @@ def test_alignment_and_licenses(spark):
 def test_sentence_spans(spark):
     passage = "Now this is a sentence of many words. And here comes another one of many words! Then a third, which is the last."
     texts = [(5, f"Alone here. {passage} The end of it."), (2, f"{passage}\nSomething else at the end."), (9, None), (10, ""), (11, "Short. Short."), (12, "Short. Short."), (13, "no end   \n")]
-    got = {r.doc_id: r for r in sentence_spans.sentence_dedup(docs(spark, texts)).collect()}
+    got = {r.doc_id: r for r in sentence_spans.sentence_dedup(docs(spark, texts), least_words=12).collect()}
     assert got[2].text == texts[1][1] and got[2].n_removed == 0
     assert got[5].text == "Alone here. The end of it." and got[5].n_removed == 3 and got[5].words_removed == 23
     assert got[9].text is None and [got[i].text for i in (10, 11, 12, 13)] == ["", "Short. Short.", "Short. Short.", "no end   \n"]
@@ -253,7 +253,7 @@ def test_sentence_spans_of_short_sentences(spark):
     lines = "\n".join(f"row {i}" for i in range(9))  # every end must be reached too: 18 words in lines of 2
     mixed = "One long sentence that holds more than twelve words all by itself, as you see. Yes. No."
     texts = [(1, short), (2, f"First of all. {short} And so on."), (3, lines), (4, f"head\n{lines}\ntail"), (5, mixed), (6, f"Ahead of it. {mixed} Behind it."), (7, "A b. C d."), (8, "A b. C d.")]
-    got = {r.doc_id: (r.text, r.n_removed, r.words_removed) for r in sentence_spans.sentence_dedup(docs(spark, texts)).collect()}
+    got = {r.doc_id: (r.text, r.n_removed, r.words_removed) for r in sentence_spans.sentence_dedup(docs(spark, texts), least_words=12).collect()}
     assert all(got[i] == (t, 0, 0) for i, t in texts if i in (1, 3, 5, 7, 8))
     assert got[2] == ("First of all. And so on.", 15, 60)
     assert got[4] == ("head\ntail", 9, 18)
