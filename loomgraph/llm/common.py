@@ -11,6 +11,8 @@ from ..storage import cut, remove, shared_dir  # noqa: F401
 #: Only these letters are folded; other alphabets keep their case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: The MOST largest groups of more than LARGE rows are told apart. Only speed depends on them.
+LARGE, MOST = 1_000, 1_000
 #: A word: everything between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,6 +22,12 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("own")
 
 
+def meet(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with groups(key, size, ..): those of the MOST largest groups by broadcast, so that no task gets all rows of one."""
+    large = F.broadcast(groups.where(F.col(size) > LARGE).orderBy(F.desc(size), key).limit(MOST))
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(groups, key))
+
+
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     """A folder of shared_dir, from a Python worker."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")

@@ -3,7 +3,7 @@
 Pass 1 hashes every text, counts how often each of k cells of a bit table is hit (partial aggregation before the
 shuffle of bare cell numbers) and packs the cells hit twice or more into 4 KB bitmaps. Pass 2 tests each row against the
 bitmaps: a row with a cell that was hit once is the only one of its text and passes straight through; only the others
-shuffle, as (hash, id), and are grouped exactly. The bitmaps are broadcast; max_bits bounds them (32 MB by default).
+shuffle, as (hash, id), and are grouped exactly; the verdicts of the largest groups are broadcast to their rows (meet). The bitmaps are broadcast; max_bits bounds them (32 MB by default).
 Beyond about max_bits / bits_per_row rows the filter lets more unique rows through to the exact grouping, which
 stays right at any size.
 
@@ -19,22 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower, cut, packed
+from .common import ascii_lower, cut, meet, packed
 
-#: The verdicts of the MOST largest groups of more than LARGE rows are broadcast, so that no task gets all rows of one. Only speed depends on them.
-LARGE, MOST = 1_000, 1_000
 
 def text_key(text: Column) -> Column:
     """SHA-256 (binary) of the text with A-Z lower-cased."""
     return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
 
 
-def _met(again: DataFrame, groups: DataFrame) -> DataFrame:
-    """again(key, ..) with the verdicts of groups(key, keep_id, group_size): that of the MOST largest groups comes to the rows."""
-    large = cut(groups.where(F.col("group_size") > LARGE).orderBy(F.desc("group_size"), "key").limit(MOST), "dedup-large")
-    return again.join(F.broadcast(large), "key").unionByName(again.join(F.broadcast(large.select("key")), "key", "left_anti").join(groups, "key"))
-
-
 def _filter(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_bits: int) -> tuple[DataFrame, DataFrame, int]:
     thin = cut(docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key")), "dedup-keys")
     bits = bloom.size(thin.count(), bits_per_row, max_bits)
@@ -48,7 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = marked.where(~F.col("maybe")).select("id", "key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     again = marked.where("maybe").select("id", "key")
     groups = again.groupBy("key").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = alone.unionByName(_met(again, groups).select("id", "key", "keep_id", "group_size"))
+    found = alone.unionByName(meet(again, cut(groups, "dedup-groups"), "key", "group_size").select("id", "key", "keep_id", "group_size"))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("key")).alias("text_sha256"))
 
 
