@@ -4,7 +4,7 @@ Each pass gives every vector a key of random hyperplane signs (KEY_BITS bits, an
 vectors by it. Vectors that are close mostly share a long prefix, so each is compared with the WINDOW that follow it. The
 order is made of thin (pass, key, id) rows, whose places are numbered across partitions; stretches of SPAN places then get their
 vectors, and the first WINDOW of the next stretch with them, so that no window ends at a border. Pairs are verified in double
-precision and collected over the passes, GROUP of them at a time; they give the components.
+precision; those of a stretch are handed on as links that span its classes, GROUP passes at a time, and give the components.
 
 Windows bound what a pass compares, so they don't count the links of groups denser than a window. Therefore each component
 is compared whole afterwards, block against block, which gives counts a vector and no pairs: n_links is exact within components.
@@ -83,8 +83,24 @@ def _stretches(keyed: DataFrame, span: int, window: int) -> DataFrame:
     return placed.select(F.explode(both).alias("stretch"), "at", "pass", "id")
 
 
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the first row that the pairs (i, j) connect it with."""
+    label = np.arange(n)
+    while True:
+        least, new = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 def _close(stretches: DataFrame, least: float, span: int, window: int) -> DataFrame:
-    """stretches(stretch, at, pass, id, v) -> (a, b), a < b: close vectors at most `window` places apart in a pass."""
+    """stretches(stretch, at, pass, id, v) -> (a, b): links that join what close vectors at most `window` places apart in a pass join.
+
+    A stretch gives a link a vector at most, to the first one of its class there, however many pairs it holds.
+    """
 
     def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks()
@@ -93,7 +109,7 @@ def _close(stretches: DataFrame, least: float, span: int, window: int) -> DataFr
         dims, found = np.diff(v.offsets.to_numpy()), []
         for dim in np.unique(dims).tolist():
             which = np.flatnonzero(dims == dim)  # ascending places
-            x, places, tags, names = _unit(v.take(pa.array(which)), dim), at[which], tag[which], ids[which]
+            x, places, tags = _unit(v.take(pa.array(which)), dim), at[which], tag[which]
             inside = int(np.searchsorted(places, (stretch + 1) * span))
             for lo in range(0, inside, 256):
                 hi = min(lo + 256, inside)
@@ -101,9 +117,10 @@ def _close(stretches: DataFrame, least: float, span: int, window: int) -> DataFr
                 gap = places[None, lo:end] - places[lo:hi, None]
                 ok = (x[lo:hi] @ x[lo:end].T >= least) & (gap > 0) & (gap <= window) & (tags[None, lo:end] == tags[lo:hi, None])
                 i, j = np.nonzero(ok)
-                found.append(np.stack([names[lo + i], names[lo + j]]))
-        both = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.empty((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                found.append(np.stack([which[lo + i], which[lo + j]]))
+        label = _labels(len(ids), *np.concatenate(found, axis=1)) if found else np.arange(len(ids))
+        own = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _groups(batches, 1):

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm import bpe, embed_dedup, exact_dedup, license_scan, mixing, ngram_join, sentence_spans, toxicity, url_filter, warc
 from loomgraph.llm.shingles import WordHashes
 
+from test_operators import roots
+
 #: Names that operators use inside, as users' columns.
 CLASH = ["key", "maybe", "own", "id", "group", "keep_id", "lost", "places", "all", "gone", "g", "ids_", "_g", "_id", "_gone", "_all", "_starts", "_score", "score", "bucket", "bitmap", "_b0", "_m0", "a.b", "a`b", "stretch"]
 
@@ -284,7 +286,7 @@ def test_a_passage_goes_and_a_common_line_stays(spark):
 
 
 def test_windows_run_across_partitions(spark):
-    """The pairs of the passes equal those of one sorted list, whatever the partitions."""
+    """The pairs of the passes join what those of one sorted list join, whatever the partitions."""
     r = np.random.default_rng(3)
     x = (r.standard_normal((12, 8))[r.integers(0, 12, 300)] + 0.25 * r.standard_normal((300, 8))).astype(np.float32)
     reps = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<float>")
@@ -301,6 +303,7 @@ def test_windows_run_across_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "64")  # fewer rows a partition than a window has
     try:
         found = embed_dedup._close(embed_dedup._stretches(keyed, span, window).join(reps, "id"), 0.9, span, window)
-        assert {tuple(p) for p in found.collect()} == want and len(want) > 100
+        got = [tuple(p) for p in found.collect()]
+        assert roots(range(300), got) == roots(range(300), want) and len(want) > 100 and len(got) < 3 * 300 * 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
