@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that are no terms.
-STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "was", "are", "but", "not", "you", "has", "have"]
+STOPWORDS = "the and for with this that from into have has not are was were but you your their there then when what which will would can could should may might issue pull request merge merged close closed fix fixed bug error file test tests".split()
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 #: Fixed pattern: a closing keyword before a local reference of at most ten digits.

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import derived as D
 from ..operators import graph as G
 from ..operators import reads as R
+from . import forge_queries
 
 NOW, AS_OF, FILE, QUERY = "1999-01-01 00:00:00", "2024-01-15 00:00:00", "part/7", ["the", "and", "from"]
 #: Views over the source tables under the corpus' names.
@@ -223,7 +224,7 @@ def export_nodes(spark, sf_dir):
     return G.export_nodes(corpus, G.edges(corpus))
 
 
-TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda w: length(w) >= 3 and w not in ({})))".format(", ".join(f"'{w}'" for w in T.STOPWORDS))
+TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda w: length(w) >= 3 and w not in ({})))".format(", ".join(f"'{w}'" for w in "and are bug but can close closed could error file fix fixed for from has have into issue may merge merged might not pull request should test tests that the their then there this was were what when which will with would you your".split()))
 
 
 @query(f"select term, count(*) as df, round(ln(1 + (select count(*) from documents) / count(*)), 9) as idf from (select unnest({TOKENS}) as term from documents) group by 1")
@@ -280,8 +281,8 @@ def content_hash(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | forge_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | forge_queries.oracle_sql()
