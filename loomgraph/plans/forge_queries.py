@@ -16,6 +16,8 @@ from ..operators import claims as K
 from ..operators import edges as E
 from ..operators import items as I
 from ..operators import search as S
+from ..operators import triage as T3
+from ..storage import cut
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -285,6 +287,109 @@ def ranked_search(spark, sf_dir):
     return S.search(f.items, S.postings(docs), sizes, QUERY, 40, 3)[0].drop("title", "body")
 
 
+# ---- triage
+
+
+def _edges(f: Forge) -> DataFrame:
+    links = f.links.withColumnRenamed("repo", "other_repo").join(f.items.select("repo", "number"), "number")
+    return E.keyword_edges(f.items).unionByName(E.link_edges(links)).unionByName(E.pull_edges(f.items))
+
+
+def _paths(f: Forge) -> DataFrame:
+    bodies = f.items.where("kind = 'issue'").where(F.col("body").contains(".py"))
+    return bodies.select("number", F.explode(X.paths(F.col("body"), F.col("repo"))).alias("p")).select("number", F.col("p.path").alias("path")).distinct()
+
+
+def _tasks(f: Forge) -> DataFrame:
+    marked = f.items.where("kind = 'issue'").where(F.col("body").contains("["))
+    return marked.select("number", F.explode(X.task_refs(F.col("body"))).alias("child"))
+
+
+def _gates(f: Forge, edges: DataFrame) -> DataFrame:
+    issues = f.items.where("kind = 'issue' and state = 'open'")
+    nobody = f.items.select("number").limit(0)
+    return T3.gates(issues, f.items, edges, K.gate(K.claims(f.comments, G.NOW)), nobody, _tasks(f))
+
+
+def _scored(f: Forge) -> DataFrame:
+    edges = cut(_edges(f), "triage-edges")  # read for every feature
+    gated = cut(_gates(f, edges), "triage-gates")
+    paths = cut(_paths(f), "triage-paths")
+    issues = f.items.where("kind = 'issue' and state = 'open'")
+    rows = T3.features(issues, f.items, edges, f.comments, f.events, f.labels, f.actors, paths, f.pr_files, gated)
+    scored = T3.stage1(rows, G.NOW).join(gated, "number")
+    reverted = T3.item_edges(edges, ("reverts",)).select(F.col("b").alias("number")).distinct()
+    hot = T3.heat(I.merged_files(f.pr_files, f.items), HEAT_AT)
+    return T3.stage2(scored, paths, hot, f.pr_files.where(I.kept(F.col("status"))).join(reverted, "number", "left_semi"))
+
+
+HEAT_AT = 904_000_000
+_ISSUE_PATHS = """ip as (select doc_id * 2 + 1 as number, 'part/' || (doc_id % 300) || '.py' as path from documents where doc_id % 8 in (2, 3) union select doc_id * 2 + 1, 'part/' || (doc_id % 211) || '.py' from documents where doc_id % 8 = 3),"""
+_GATES = REFS + _ISSUE_PATHS + """
+  st as (select number, kind, state, merged, subs, subs_done, locked, author, repo, reactions, due, title from f_items),
+  lk as (select number as a, other as b, kind as rel from f_links where repo = 'acme/app' and number <> other),
+  ke as (select repo, number as a, ref as b, rel from r),
+  cl as (select conv_id * 2 + 1 as number, conv_id * 1000 + turn as comment_id, role, 1700000000 - 3600 * ((conv_id * 7 + turn * 5) % 120) as created, (conv_id + turn) % 5 as what from conversations),
+  claimed as (select distinct number from cl k where what = 0 and role <> 'user' and (1700000000 - created) / 3600.0 < 72 and not exists (select 1 from cl r where r.what = 1 and r.number = k.number and (r.created > k.created or (r.created = k.created and r.comment_id > k.comment_id)))),
+  oi as (select * from st where kind = 'issue' and state = 'open'),
+  kids as (select lk.b as number, bool_and(coalesce(s.state = 'closed', false)) as done from lk left join st s on s.number = lk.a where rel = 'parent' group by 1),
+  boxes as (select t.number, bool_and(coalesce(s.state = 'closed' and s.kind = 'issue', false)) as done from (select doc_id * 2 + 1 as number, unnest([(doc_id + 2) * 2 + 1, (doc_id + 3) * 2 + 1]) as child from documents where doc_id % 8 = 1) t left join st s on s.number = t.child group by 1),
+  gt as (select oi.number, list_filter([case when oi.number in (select number from claimed) then 'claimed' end,
+    case when exists (select 1 from lk join st s on s.number = lk.b where rel = 'blocked_by' and lk.a = oi.number and s.state = 'open') then 'blocked' end,
+    case when exists (select 1 from ke join st s on s.number = ke.a where rel = 'closes_keyword' and ke.b = oi.number and s.state = 'open' and s.kind = 'pr') then 'linked_pr (append-only evidence; may be stale)' end,
+    case when locked then 'locked' end, case when (subs > 0 and subs = subs_done) or oi.number in (select number from kids where done) or oi.number in (select number from boxes where done) then 'tracking' end], lambda x: x is not null) as gates from oi),"""
+_FEATURES = _GATES + """
+  bot as (select login from f_actors where bot), au as (select number, author from f_comments union select number, author from st),
+  fe as (select oi.number, oi.reactions, (select count(distinct author) from au where au.number = oi.number and author not in (select login from bot)) as participants,
+    (select count(*) from f_comments c where c.number = oi.number) as comments, (select count(distinct a) from ke where rel = 'duplicate_keyword' and b = oi.number) as duplicates,
+    (select count(distinct ke.a) from ke join st s on s.number = ke.a where rel = 'mentions' and ke.b = oi.number and s.state = 'open' and s.author not in (select login from bot) and not exists (select 1 from lk where rel = 'parent' and lk.a = ke.a and lk.b = oi.number)) as mentions,
+    (select count(distinct lk.a) from lk join gt g on g.number = lk.a where rel = 'blocked_by' and lk.b = oi.number and len(g.gates) = 0) as blocking,
+    case when subs > 0 then subs - subs_done end as gap, due, (select count(*) from f_events e where e.number = oi.number and type = 'reopened') as reopens,
+    (select max(case lower(name) when 'p0' then 1.0 when 'bug' then 0.75 end) from f_labels l where l.number = oi.number)::double as label_weight from oi),
+  rv as (select distinct b.number from st a join st b on a.repo = b.repo and b.number = a.number - 2 where a.kind = 'pr' and (a.number // 2) % 77 = 1 and (b.number // 2) % 77 <> 1),
+  rf as (select number, path from f_pr_files where number in (select number from rv) and (status is null or status <> 'removed')),
+  fr as (select ip.number, count(distinct rf.number) as file_reverts from ip join rf using (path) group by 1),
+  no as (select fe.number, gates, coalesce(file_reverts, 0) as file_reverts, (least(1.0, reactions / 3.0) + least(1.0, participants / 3.0) + least(1.0, comments / 5.0) + case when duplicates > 0 then 1.0 else 0.0 end + least(1.0, mentions / 10.0))::double / 5 as demand,
+    (least(1.0, blocking / 3.0) + case when gap is null then 0 else least(1.0, gap / 3.0) end + case when due <= 1700000000 + 14 * 86400 then 1.0 else 0.0 end)::double / (1 + (gap is not null)::int + (due is not null)::int) as leverage,
+    (least(1.0, reopens) + least(1.0, coalesce(file_reverts, 0)))::double / 2 as risk, coalesce(label_weight, 0) as priority from fe join gt using (number) left join fr using (number)),
+  """
+_TRIAGE_TABLES = ("items", "links", "comments", "events", "labels", "actors", "pr_files")
+
+
+@query(_GATES + "z as (select 1) select number, array_to_string(gates, ', ') as gates from gt", "items", "links")
+def triage_gates(spark, sf_dir):
+    f = Forge(spark, sf_dir)
+    return _gates(f, _edges(f)).select("number", F.array_join("gates", ", ").alias("gates"))
+
+
+@query(_FEATURES + "z as (select 1) select number, round(demand, 9) as demand, round(leverage, 9) as leverage, round(risk, 9) as risk, round(priority, 9) as priority, round(demand + leverage + risk + priority, 9) as stage1 from no", *_TRIAGE_TABLES)
+def triage_features(spark, sf_dir):
+    f = Forge(spark, sf_dir)
+    edges = cut(_edges(f), "triage-edges")
+    issues = f.items.where("kind = 'issue' and state = 'open'")
+    rows = T3.features(issues, f.items, edges, f.comments, f.events, f.labels, f.actors, _paths(f), f.pr_files, _gates(f, edges))
+    return T3.stage1(rows, G.NOW).select("number", *[F.round(c, 9).alias(c) for c in (*T3.GROUPS, "stage1")])
+
+
+_TOTALS = _FEATURES + """
+  ht as (select path, sum(exp(-((904000000 - merged) / 86400.0 / 45.0))) as heat from f_pr_files join f_items using (number) where merged <= 904000000 and (status is null or status <> 'removed') group by 1),
+  s1 as (select number, gates, demand + leverage + risk + priority as stage1 from no), tp as (select number from s1 where len(gates) = 0 order by stage1 desc, number limit 50),
+  wm as (select number, sum(heat) as heat from ip join ht using (path) where number in (select number from s1 where len(gates) = 0) group by 1), ag as (select distinct number from ip where path in (select path from rf)),
+  tt as (select number, gates, stage1, case when number in (select number from tp) then 0.25 * (coalesce(heat / (select max(heat) from wm), 0) + (number in (select number from ag))::int) / 2 else 0 end as bonus from s1 left join wm using (number)),
+  """
+
+
+@query(_TOTALS + "z as (select 1) select number, round(stage1 + bonus, 9) as total, row_number() over (order by round(stage1 + bonus, 9) desc, number)::int as rank from tt where len(gates) = 0", *_TRIAGE_TABLES)
+def triage_totals(spark, sf_dir):
+    return T3.with_rank(_scored(Forge(spark, sf_dir))).select("number", F.round("total", 9).alias("total"), "rank")
+
+
+@query(_TOTALS + "z as (select 1) select number, total, array_to_string(gates, ', ') as gates from (select number, gates, round(stage1 + bonus, 9) as total from tt) where total < 0.9 or (total = 0.9 and number > 51) order by len(gates) > 0, total desc, number limit 30", *_TRIAGE_TABLES)
+def triage_page(spark, sf_dir):
+    rows, _ = T3.page(_scored(Forge(spark, sf_dir)), 30, "0.9:51", include_gated=True)
+    return rows.select("number", "total", F.array_join("gates", ", ").alias("gates"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
