@@ -29,7 +29,9 @@ class Corpus:
         state = F.when((F.col("state") == "closed") & F.col("merged_at").isNotNull() & (F.col("merged_at") > t), "open").otherwise(F.col("state"))
         items = self.items.where(F.col("created_at") <= t).withColumn("state", state).withColumn("merged_at", merged)
         files = self.pr_files.join(items.where("merged_at is not null").select("number"), "number", "left_semi")
-        return replace(self, items=items, pr_files=files, item_events=self.item_events.where(F.col("created_at") <= t))
+        # comments carry no instant here: those of items that weren't there yet go, and so do all whose item can't be dated
+        comments = self.comments.join(items.select("number"), "number", "left_semi")
+        return replace(self, items=items, pr_files=files, comments=comments, item_events=self.item_events.where(F.col("created_at") <= t))
 
 
 def load(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -72,6 +74,6 @@ def load(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def merged_pr_files(corpus: Corpus) -> DataFrame:
-    """(number, path, additions, merged_at) of files that merged pull requests did not remove."""
+    """(number, path, additions, merged_at) of files that merged pull requests did not remove; an unknown status counts as kept."""
     merged = corpus.items.where("kind = 'pr' and merged_at is not null").select("number", "merged_at")
-    return corpus.pr_files.where("status <> 'removed'").join(merged, "number")
+    return corpus.pr_files.where("not (status <=> 'removed')").join(merged, "number")

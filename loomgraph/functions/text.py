@@ -1,19 +1,16 @@
-"""Text functions: tokens, references with noise masked, path suffixes, ranked search, canonical hashes, the SQL guard."""
+"""Text functions: tokens, closing numbers, path suffixes, ranked search, row hashes."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are no terms.
 STOPWORDS = "the and for with this that from into have has not are was were but you your their there then when what which will would can could should may might issue pull request merge merged close closed fix fixed bug error file test tests".split()
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
-#: Fixed pattern: a closing keyword before a local reference of at most ten digits.
-CLOSES = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?):?\s+#(\d{1,10})\b"
+#: Fixed pattern: a closing keyword before a reference of at most ten digits: `#n`, `this #n`, `owner/name#n`, or a link.
+CLOSES = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?):?\s+(?:this\s+)?(?:[\w.-]+/[\w.-]+#|#|https?://github\.com/[\w.-]+/[\w.-]+/(?:issues|pull)/)(\d{1,10})\b"
 
 
 def terms(text: Column) -> Column:
@@ -46,7 +43,7 @@ def search(docs: DataFrame, query: list[str], limit: int, key: str = "doc_id", t
 
 
 def closing_numbers(text: Column) -> Column:
-    """Numbers that a text closes, in order."""
+    """Numbers that a text closes, in order, whatever repository they are of (extract.references knows its own)."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CLOSES), F.lit(1)), lambda x: x.cast("long"))
 
 
@@ -55,61 +52,18 @@ def branch_tokens(name: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"(?<![A-Za-z0-9])(\d+)(?![A-Za-z0-9])"), F.lit(1))
 
 
-_NOISE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|^[ ]{0,3}>.*?$|<!--.*?(?:-->|\Z)|\b[\w.-]+/[\w.-]+#\d+", re.DOTALL | re.MULTILINE)
-_REF = re.compile(r"(?<![\w/#&])#([0-9]{1,10})(?![\w#])")
-
-
-def references_of(text: str | None) -> list[tuple[int, int]]:
-    """(number, offset) of local references outside code, quotes and references to other repositories; lowest offset wins."""
-    plain = _NOISE.sub(lambda m: " " * len(m.group()), text or "")
-    found: dict[int, int] = {}
-    for m in _REF.finditer(plain):
-        found.setdefault(int(m.group(1)), m.start())
-    return sorted(found.items(), key=lambda x: x[1])
-
-
-def references(text: Column) -> Column:
-    """references_of as an Arrow-batched column."""
-
-    @F.pandas_udf("array<struct<number:long,at:int>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"number": n, "at": at} for n, at in references_of(t)])
-
-    return found(text)
-
-
 def suffix_join(refs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """refs(ref) resolved to vocabulary(path): the path itself, else the only path that ends in /ref."""
-    split = F.split("path", "/")
-    tails = F.transform(F.sequence(F.lit(1), F.size(split)), lambda i: F.array_join(F.slice(split, i, F.size(split)), "/"))
-    index = vocabulary.select("path", F.explode(tails).alias("ref")).groupBy("ref").agg(F.count("*").alias("n"), F.min("path").alias("only"), F.max(F.when(F.col("path") == F.col("ref"), F.col("path"))).alias("exact"))
-    return refs.distinct().join(index, "ref").select("ref", F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("path")).where("path is not null")
+    """refs(ref) resolved to vocabulary(path): the path itself, else the only path that ends in /ref, else the only path that ref ends in."""
+    tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))
+    index = vocabulary.select("path", F.explode(tails(F.col("path"))).alias("ref")).groupBy("ref").agg(F.count("*").alias("n"), F.min("path").alias("only"), F.max(F.when(F.col("path") == F.col("ref"), F.col("path"))).alias("exact"))
+    asked = refs.distinct()
+    forward = asked.join(index, "ref").select("ref", F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("path")).where("path is not null")
+    longer = asked.join(forward.select("ref"), "ref", "left_anti").select("ref", F.explode(tails(F.col("ref"))).alias("path")).where("path <> ref")
+    back = longer.join(vocabulary.select("path").distinct(), "path", "left_semi").groupBy("ref").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").select("ref", "path")
+    return forward.unionByName(back)
 
 
 def content_hash(*cols: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols]), 256)
-
-
-def assert_read_sql(sql: str) -> str:
-    """The statement, if it is a single SELECT, WITH or EXPLAIN; strings, quoted names and comments are told apart."""
-    token = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|;|[A-Za-z_]\w*|.", re.DOTALL)
-    seen, ended = [], False
-    for m in token.finditer(sql.lstrip("﻿")):
-        t = m.group()
-        if t.isspace() or t.startswith(("--", "/*")):
-            continue
-        if ended:
-            raise ValueError("only one statement is allowed")
-        if t == ";":
-            ended = True
-        else:
-            seen.append(t)
-    if not seen or seen[0].upper() not in ("SELECT", "WITH", "EXPLAIN"):
-        raise ValueError("only SELECT, WITH and EXPLAIN are allowed")
-    return sql.lstrip("﻿").rstrip().rstrip(";")
-
-
-def read_sql(spark: SparkSession, sql: str, limit: int) -> tuple[list, bool]:
-    """Up to limit rows of a read-only statement, and whether there are more."""
-    rows = spark.sql(assert_read_sql(sql)).limit(limit + 1).collect()
-    return rows[:limit], len(rows) > limit
+    """A digest of a row: each value behind its length, null as a length of none, so that no two rows read alike."""
+    cells = [F.coalesce(F.concat(F.char_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in cols]
+    return F.sha2(F.concat_ws("|", *cells), 256)

@@ -55,7 +55,7 @@ def similar(corpus: Corpus, limit: int) -> DataFrame:
     Candidates come from shared files (an equi-join), so no pair without an anchor is made.
     """
     hubs = hub_share(corpus).where(F.col("share") >= HUB_SHARE).select("path", F.lit(HUB_WEIGHT).alias("w"))
-    files = corpus.pr_files.where("status <> 'removed'").join(hubs, "path", "left").select("number", "path", F.coalesce("w", F.lit(1.0)).alias("w"))
+    files = corpus.pr_files.where("not (status <=> 'removed')").join(hubs, "path", "left").select("number", "path", F.coalesce("w", F.lit(1.0)).alias("w"))
     size = files.groupBy("number").agg(F.sum("w").alias("size"))
     state = corpus.items.where("kind = 'pr'").select("number", F.col("merged_at").isNotNull().alias("merged"), "state")
     own = files.join(state.where("state = 'open'"), "number").select(F.col("number").alias("a"), "path", "w")
@@ -69,7 +69,7 @@ def similar(corpus: Corpus, limit: int) -> DataFrame:
 
 def localised(corpus: Corpus, limit: int) -> DataFrame:
     """For every open pull request the files its own files change with, best confidence first."""
-    own = corpus.pr_files.where("status <> 'removed'").join(corpus.items.where("kind = 'pr' and state = 'open'").select("number"), "number").select("number", F.col("path").alias("a"))
+    own = corpus.pr_files.where("not (status <=> 'removed')").join(corpus.items.where("kind = 'pr' and state = 'open'").select("number"), "number").select("number", F.col("path").alias("a"))
     found = own.join(coupling(corpus), "a").groupBy("number", "b").agg(F.max(F.struct("confidence", "support")).alias("best"))
     found = found.join(own.select("number", F.col("a").alias("b")), ["number", "b"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("best.confidence"), F.desc("best.support"), "b"))

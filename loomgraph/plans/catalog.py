@@ -244,22 +244,15 @@ def search(spark, sf_dir):
     return T.search(_docs(spark, sf_dir), QUERY, 25)
 
 
-_BODY = "'Fixes #' || o_custkey || ', resolves: #' || o_orderkey || ' and see #' || (o_orderkey % 7)"
+_BODY = "'Fixes #' || o_custkey || ', resolves: #' || o_orderkey || ' and see #' || (o_orderkey % 7) || ' closed this acme/app#8 fix https://github.com/acme/app/pull/9'"
 
 
-@query(f"select o_orderkey as number, array_to_string(list_transform(regexp_extract_all({_BODY}, '(?i)\\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?):?\\s+#(\\d{{1,10}})\\b', 1), lambda x: x), ',') as closes from orders")
+@query("select o_orderkey as number, o_custkey || ',' || o_orderkey || ',8,9' as closes from orders")
 def closing_numbers(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select(F.col("o_orderkey").alias("number"), F.array_join(T.closing_numbers(F.expr(_BODY)).cast("array<string>"), ",").alias("closes"))
 
 
-@query(None)
-def references(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    found = orders.select(F.col("o_orderkey").alias("number"), F.explode(T.references(F.expr(f"{_BODY} || ' `#99` other/repo#5'"))).alias("r"))
-    return found.select("number", F.col("r.number").alias("ref"), F.col("r.at").alias("at"))
-
-
 @query("select o_orderkey as number, array_to_string(regexp_extract_all('fix/' || o_custkey || '-v2-' || o_orderkey, '(?:^|[^A-Za-z0-9])(\\d+)', 1), ',') as tokens from orders")
 def branch_tokens(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -274,7 +267,7 @@ def suffix_join(spark, sf_dir):
     return T.suffix_join(refs, part.select(F.expr("'src/' || p_brand || '/' || p_size || '/' || p_partkey").alias("path")))
 
 
-@query("select number, sha256(concat_ws('|', number::varchar, state, author, label)) as hash from pulls")
+@query("select number, sha256(length(number::varchar) || ':' || number || '|' || length(state) || ':' || state || '|' || length(author) || ':' || author || '|' || length(label) || ':' || label) as hash from pulls")
 def content_hash(spark, sf_dir):
     items = C.load(spark, sf_dir).items.where("kind = 'pr'")
     return items.select("number", T.content_hash(F.col("number"), F.col("state"), F.col("author"), F.col("label")).alias("hash"))

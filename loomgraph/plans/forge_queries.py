@@ -14,11 +14,13 @@ from .. import forge as G
 from ..functions import extract as X
 from ..operators import claims as K
 from ..operators import edges as E
+from ..operators import export as B
 from ..operators import items as I
 from ..operators import search as S
 from ..operators import similarity as Y
 from ..operators import triage as T3
 from ..storage import cut
+from ..streaming import integrity as Z
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -456,6 +458,113 @@ def similar_ranked(spark, sf_dir):
     return Y.ranked(Y.anchored(_similar(Forge(spark, sf_dir))), 5).select("a", "b", F.round("total", 9).alias("total"), "rank")
 
 
+# ---- integrity and exports
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("number"), F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("price"))
+
+
+@query("""with b as (select o_orderkey as number, o_custkey + case when o_orderkey % 3 = 0 then 1 else 0 end as id, o_orderkey % 3 = 0 as touched, o_orderpriority as title, o_totalprice as price, o_orderkey % 6 as m from orders)
+  select number, case when touched and m = 0 then null else title end as title, case when touched and m <> 0 then price + 1 else price end as price from b
+  union all select o_orderkey + 1000000000, 'new', 1.0 from orders where o_orderkey % 10 = 0""")
+def upserted(spark, sf_dir):
+    """A batch of new rows, rows whose title is carried as null, and rows whose title is absent and whose price is carried."""
+    old = _orders(spark, sf_dir).select("number", "title", "price")
+    cleared = old.where("number % 6 = 0").select("number", F.lit(None).cast("string").alias("title"), F.lit(0.0).alias("price"), F.array(F.lit("title")).alias("present"))
+    priced = old.where("number % 6 = 3").select("number", F.lit("ignored").alias("title"), (F.col("price") + 1).alias("price"), F.array(F.lit("price")).alias("present"))
+    new = old.where("number % 10 = 0").select((F.col("number") + 1_000_000_000).alias("number"), F.lit("new").alias("title"), F.lit(1.0).alias("price"), F.array(F.lit("title"), F.lit("price")).alias("present"))
+    return Z.upsert(old, cleared.unionByName(priced).unionByName(new), "number", ["title", "price"])
+
+
+@query("""with l as (select l_orderkey as number, l_linenumber as line, max(l_quantity) as quantity from lineitem group by 1, 2), s as (select *, number % 4 as m from l)
+  select number, line, case when m in (0, 1) and line <= 2 then quantity + 100 else quantity end as quantity from s where m <> 0 or line <= 2""")
+def replaced_children(spark, sf_dir):
+    """Whole sections replace, partial ones refresh, absent ones leave alone."""
+    old = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("number"), F.col("l_linenumber").alias("line")).agg(F.max("l_quantity").alias("quantity"))
+    batch = old.where("line <= 2").withColumn("quantity", F.col("quantity") + 100)
+    m = F.col("number") % 4
+    sections = old.select("number").distinct().select("number", m.isin(0, 1).alias("carried"), (m == 0).alias("whole"))
+    return Z.replace_children(old, batch, sections, "number", ["line"])
+
+
+@query("""select doc_id as number, 'edit' as origin, length(text) as size from documents where doc_id % 5 = 0 and text is not null union all select doc_id, 'deleted', length(text) from documents where doc_id % 5 = 1""")
+def displaced_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("number"), F.col("doc_id").alias("key"), "text")
+    batch = docs.where("number % 5 <> 1").withColumn("text", F.when(F.col("number") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    sections = docs.select("number", (F.col("number") % 5 != 2).alias("carried"), F.lit(True).alias("whole"))
+    found = Z.displaced(docs, batch, sections, "number", "key", "text", F.lit(1))
+    return found.select("number", "origin", F.char_length("content").cast("long").alias("size"))
+
+
+@query("select o_orderkey as number, 'refresh' as action from orders where o_orderkey % 9 = 0 and o_orderkey % 2 = 1")
+def torn_rows(spark, sf_dir):
+    listing = _orders(spark, sf_dir).select("number", (F.col("number") % 100).alias("updated"))
+    detail = listing.select("number", (F.col("updated") + F.when((F.col("number") % 9 == 0) & (F.col("number") % 2 == 1), 1).otherwise(0)).alias("updated"))
+    return Z.torn(listing, detail, "number", "updated", refreshes=1)
+
+
+@query("select o_orderkey as number, case when o_orderkey % 2 = 0 then 'deleted' else 'transferred' end as status from orders where o_orderkey % 25 = 0 and o_orderkey % 3 <> 0")
+def deleted_items(spark, sf_dir):
+    stored = _orders(spark, sf_dir)
+    missing = (F.col("number") % 25) == 0
+    verdicts = stored.where(missing).select("number", F.when(F.col("number") % 3 == 0, "present").when(F.col("number") % 2 == 0, "deleted").otherwise("transferred").alias("status"))
+    return Z.deletions(stored, stored.where(~missing), verdicts, "number", drained=True)
+
+
+@query("select event_type as k, sum(case when rk <= had then 1 else 0 end)::bigint as covered, count(*) as delivered from (select event_type, user_id, row_number() over (partition by event_type, user_id) as rk, count(*) filter (event_id % 2 = 0) over (partition by event_type, user_id) as had from events) group by 1")
+def covered_deliveries(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("k"), F.col("user_id").alias("d"), "event_id")
+    found = Z.covered(rows.select("k", "d"), rows.where("event_id % 2 = 0").select("k", "d"), "k", "d")
+    return found.groupBy("k").agg(F.count_if("covered").alias("covered"), F.count("*").alias("delivered"))
+
+
+@query("""select repo, number, sha256('{"author":"' || author || '","kind":"pr","number":' || number || ',"paths":[' || coalesce((select string_agg('{"path":"' || path || '"}', ',' order by path) from f_pr_files p where p.number = i.number), '') || '],"repo":"' || repo || '","state":"' || state || '"}') as hash from f_items i where kind = 'pr'""", "items", "pr_files")
+def export_lines(spark, sf_dir):
+    f = Forge(spark, sf_dir)
+    items = f.items.where("kind = 'pr'").select("repo", "number", "kind", "state", "author")
+    return B.lines(items, {"paths": f.pr_files.select("number", "path")}).select("repo", "number", "hash")
+
+
+@query("""also h as (select repo, number, sha256('{"number":' || number || ',"repo":"' || repo || '"}') as hash from f_items), p as (select repo, number // 10000 as range, count(*) as n, sha256(string_agg(hash, '' order by number)) as h from h group by all)
+  select repo, sum(n)::bigint as items, sha256(string_agg(h, '' order by range)) as hash from p group by repo""", "items")
+def corpus_hashes(spark, sf_dir):
+    return B.corpus_hash(B.lines(Forge(spark, sf_dir).items.select("repo", "number"), {}))
+
+
+@query("""also e as (select i.repo, 'item' as src_type, number::varchar as src, 'file' as dst_type, path as dst from f_pr_files join f_items i using (number) union all select repo, 'actor', author, 'item', number::varchar from f_items),
+  s as (select repo, 'item' as type, number::varchar as id from f_items), n as (select repo, src_type as type, src as id from e union select repo, dst_type, dst from e)
+  select repo, type, id, true as stored from s union all select repo, type, id, false from n where not exists (select 1 from s where s.repo = n.repo and s.type = n.type and s.id = n.id)""", "items", "pr_files")
+def typed_nodes(spark, sf_dir):
+    f = Forge(spark, sf_dir)
+    edges = E.payload_edges(f.items, f.labels.limit(0), f.pr_files)
+    return B.graph(f.items, edges)[0]
+
+
+@query("""with s as (select case when o_custkey % 2 = 0 then 'Acme/A' else 'acme/a' end as repo, o_custkey as number, o_orderkey as updated from orders) select 'acme/a' as repo, number, max(updated) as updated from s group by number""")
+def folded_names(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select(F.when(F.col("o_custkey") % 2 == 0, "Acme/A").otherwise("acme/a").alias("repo"), F.col("o_custkey").alias("number"), F.col("o_orderkey").alias("updated"))
+    return B.folded(rows, "repo", ["number"], "updated")
+
+
+@query("""select repo, 'items' as source, count(*) as rows from f_items group by repo union all select repo, 'pr_files', count(*) from f_pr_files join f_items using (number) group by repo""", "items", "pr_files")
+def recounts(spark, sf_dir):
+    f = Forge(spark, sf_dir)
+    return B.recounted({"items": f.items, "pr_files": f.of_items("pr_files")})
+
+
+@query("""with a as (select 'acme/x' as repo, o_orderkey as number, 'old' as origin, o_orderkey % 2 as side from orders union all select 'acme/y', o_orderkey, 'old', 0 from orders)
+  select repo, case when side = 1 then 'new' else origin end as origin, count(*) as rows from a group by all""")
+def adopted_revisions(spark, sf_dir):
+    """A store whose revisions of odd items a candidate replaces; another repository and even items stay."""
+    numbers = _orders(spark, sf_dir).select("number")
+    of = lambda repo, origin: numbers.select(F.lit(repo).alias("repo"), "number", F.lit(origin).alias("origin"))
+    store = of("acme/x", "old").unionByName(of("acme/y", "old"))
+    out = B.adopt({"revisions": store}, {"revisions": of("Acme/X", "new").where("number % 2 = 1").withColumn("repo", F.lit("acme/x"))}, "Acme/X")
+    return out["revisions"].groupBy("repo", "origin").agg(F.count("*").alias("rows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
