@@ -248,6 +248,7 @@ def snippet(text: str, words: list[str], size: int = 12, left: str = "«", right
     tokens, wanted = list(re.finditer(r"\w+", text)), {w.lower() for w in words}
     hits = [i for i, m in enumerate(tokens) if m.group().lower() in wanted]
     start = max(hits, key=lambda i: (bisect_right(hits, i + size - 1) - bisect_right(hits, i - 1), -i), default=0)
+    start = max(0, min(start, len(tokens) - size))
     part = tokens[start : start + size]
     if not part:
         return ""

@@ -200,21 +200,21 @@ def ranking_metrics(spark, sf_dir):
     return D.ranking_metrics(ranked, wanted, 5)
 
 
-@query("select src_type, src, rel, dst_type, dst, 'out' as way from edges where src = '7' union all select src_type, src, rel, dst_type, dst, 'in' from edges where dst = '7' and src <> '7'")
+@query("select src_type, src, rel, dst_type, dst, 'out' as way from edges where src_type = 'item' and src = '7' union all select src_type, src, rel, dst_type, dst, 'in' from edges where dst_type = 'item' and dst = '7' and not (src_type = 'item' and src = '7')")
 def incident_edges(spark, sf_dir):
-    return G.incident(G.edges(C.load(spark, sf_dir)), "7")
+    return G.incident(G.edges(C.load(spark, sf_dir)), "item", "7")
 
 
 @query("""also s as (select src as u, dst as v from edges where rel = 'touches' union all select dst, src from edges where rel = 'touches'),
   d1 as (select distinct v from s where u = '1'), d2 as (select distinct v from s where u in (select v from d1) and v <> '1'), d3 as (select distinct v from s where u in (select v from d2) and v not in (select v from d1) and v <> '1')
-  select '1' as node, 0 as distance union all select v, 1 from d1 union all select v, 2 from d2 union all select v, 3 from d3""")
+  select 'item' as type, '1' as id, 0 as distance union all select 'file', v, 1 from d1 union all select 'item', v, 2 from d2 union all select 'file', v, 3 from d3""")
 def neighbourhood(spark, sf_dir):
-    return G.neighbourhood(G.edges(C.load(spark, sf_dir)), "1", 3)
+    return G.neighbourhood(G.edges(C.load(spark, sf_dir)), "item", "1", 3)
 
 
 @query(None)
 def shortest_path(spark, sf_dir):
-    return G.shortest_path(G.edges(C.load(spark, sf_dir)), "1", "part/7")
+    return G.shortest_path(G.edges(C.load(spark, sf_dir)), ("item", "1"), ("file", "part/7"))
 
 
 @query("""also i as (select 'item' as type, number::varchar as id from pulls), e as (select src_type as type, src as id from edges union select dst_type, dst from edges)

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .. import forge as G
 from ..functions import extract as X
+from ..operators import bundle as U
 from ..operators import claims as K
 from ..operators import edges as E
+from ..operators import evaluate as V
 from ..operators import export as B
 from ..operators import items as I
 from ..operators import search as S
@@ -565,6 +567,81 @@ def adopted_revisions(spark, sf_dir):
     return out["revisions"].groupBy("repo", "origin").agg(F.count("*").alias("rows"))
 
 
+# ---- evaluation, bundles, packets
+
+SPLIT = 800_000_000
+_FIXES = REFS + """tl as (select l.number, m.number as pr from f_timeline l join f_items i using (number) join f_items m on m.merge_commit = l.commit_id and m.repo = i.repo where type = 'closed'),
+  fx as (select number as kase, ref as answer from r where rel = 'closes_keyword' union select pr, number from tl union select number, ((number // 2) % 120) * 2 + 1 from f_items where merged is not null and (number // 2) % 4 = 0), fc as (select kase, answer from fx where kase in (select number from f_items where merged is not null) and answer in (select number from f_items where kind = 'issue')),
+  """
+
+
+def _closing(f: Forge) -> DataFrame:
+    return E.keyword_edges(f.items).unionByName(E.commit_edges(f.of_items("commits"))).unionByName(E.timeline_edges(f.of_items("timeline"), f.items))
+
+
+@query(_FIXES + "z as (select 1) select kase as \"case\", answer from fc".replace('as "case"', "as fix"), "items", "timeline")
+def fix_cases(spark, sf_dir):
+    f = Forge(spark, sf_dir)
+    return V.fix_cases(_closing(f), f.items).select(F.col("case").alias("fix"), "answer")
+
+
+@query(_FIXES + "tp as (select distinct x.answer as a, y.answer as b from fc x join fc y on x.kase = y.kase and x.answer < y.answer where x.kase in (select kase from fc group by 1 having count(*) between 2 and 50)) select a, b from tp", "items", "timeline")
+def truth_pairs(spark, sf_dir):
+    f = Forge(spark, sf_dir)
+    return V.truth_pairs(V.fix_cases(_closing(f), f.items))
+
+
+@query(_FIXES + "z as (select 1) select count(*) as pairs, count(*) filter (i.merged <= 800000000) as merged_before, count(*) filter (j.closed <= 800000000) as closed_before from fc join f_items i on i.number = kase join f_items j on j.number = answer", "items", "timeline")
+def leakage(spark, sf_dir):
+    f = Forge(spark, sf_dir)
+    return V.leakage(V.fix_cases(_closing(f), f.items), f.items, SPLIT)
+
+
+_LOCALISE = """also mf as (select distinct number, path, merged from f_pr_files join f_items using (number) where merged is not null and (status is null or status <> 'removed')), od as (select number, path from mf where merged <= 800000000),
+  bk as (select * from od where number in (select number from od group by 1 having count(*) between 2 and 50)), nb as (select path, count(*) as n from bk group by 1),
+  cp as (select x.path as fa, y.path as fb, count(*) as support, any_value(n) as na from bk x join bk y on x.number = y.number and x.path <> y.path join nb on nb.path = x.path group by 1, 2),
+  tr as (select number as kase, path as answer from mf where merged > 800000000), sd as (select kase, min(answer) as fa from tr group by 1), wn as (select t.* from tr t join sd using (kase) where answer <> fa),
+  rk as (select kase, fb as answer, row_number() over (partition by kase order by support desc, support / na desc, fb) as rank from sd join cp using (fa)),
+  n as (select kase, count(*) as n from wn group by 1), s as (select kase, count(*) filter (rank <= 5) as s from rk group by 1), h as (select kase, count(*) filter (rank <= 5) as h, min(rank) as f from rk join wn using (kase, answer) group by 1)
+  """
+
+
+@query(_LOCALISE + """select count(*) as cases, round(avg(coalesce(h / n, 0)), 9) as recall, round(avg(coalesce(h / s, 0)), 9) as precision, round(avg(coalesce(1.0::double / f, 0)), 9) as mrr, round(avg(coalesce((f <= 1)::int, 0)), 9) as top1,
+  round(avg(coalesce((f <= 3)::int, 0)), 9) as top3, round(avg(coalesce((f <= 5)::int, 0)), 9) as acc from n left join h using (kase) left join s using (kase)""", "items", "pr_files")
+def eval_localise(spark, sf_dir):
+    f = Forge(spark, sf_dir)
+    old, later = V.split(I.merged_files(f.pr_files, f.items), SPLIT)
+    coupled = cut(Y.coupled(old, f.items.limit(0).select(F.lit("").alias("path"))), "eval-coupled")
+    return V.ranking(*V.localise(coupled, later), 5)
+
+
+@query(REFS + """du as (select distinct least(number, ref) as a, greatest(number, ref) as b from r where rel = 'duplicate_keyword'), pd as (select number as kase, least(number, ref) as a, greatest(number, ref) as b from r where rel = 'mentions' and number % 2 = 1),
+  hp as (select kase, pd.a, pd.b, (du.a is not null)::int as hit from pd left join du on du.a = pd.a and du.b = pd.b), mi as (select count(*) as predicted, sum(hit)::bigint as hits from (select distinct a, b, hit from hp))
+  select predicted, hits, round(hits / predicted, 9) as precision, round(hits / (select count(*) from du), 9) as recall, (select round(avg(p), 9) from (select avg(hit) as p from hp group by kase)) as macro_precision from mi""", "items")
+def eval_pairs(spark, sf_dir):
+    """Mentions among issues as a prediction of duplicates."""
+    f = Forge(spark, sf_dir)
+    edges = cut(E.keyword_edges(f.items), "eval-edges")
+    issues = f.items.where("kind = 'issue'").select(F.col("number").alias("a"))
+    found = T3.item_edges(edges, ("mentions",)).join(issues, "a", "left_semi")
+    return V.pairs(found.select(F.col("a").alias("case"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), V.duplicate_pairs(edges))
+
+
+@query(None)
+def bundles(spark, sf_dir):
+    """Bundles of the best open issues (their number is the feature)."""
+    f = Forge(spark, sf_dir)
+    top = [(r["number"], r["total"]) for r in T3.with_rank(_scored(f)).where("rank <= 50").select("number", "total").collect()]
+    asked, rows, coupled, hubs = _profiles(f)
+    numbers = [n for n, _ in top]
+    own = rows.where(F.col("number").isin(numbers))
+    scored = cut(U.pool_pairs(spark, numbers, own, Y.word_weights(rows), coupled, hubs), "bundle-pairs")
+    pairs = U.judged(scored)
+    files = {r["number"]: frozenset(r["paths"]) for r in own.select("number", "paths").collect()}
+    found = U.grow([U.Member(n, s, files.get(n, frozenset())) for n, s in top], pairs, U.merge_candidates(pairs), {r["path"] for r in hubs.collect()}, U.Rules(floor=0.5))
+    return spark.createDataFrame([(b["id"], i, n, b["score"]) for b in found for i, n in enumerate(b["members"])], "id string, place int, number long, score double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

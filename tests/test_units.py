@@ -3,34 +3,20 @@ import json
 import pytest
 
 from loomgraph.corpus import Corpus
-from loomgraph.functions import text as T
 from loomgraph.operators import derived as D
 from loomgraph.operators import graph as G
 from loomgraph.operators import reads as R
 from loomgraph.streaming import ingest as S
 
 
-def test_references_skip_noise():
-    text = "see #12 and `#13`\n> quoted #14\n```\n#15\n```\nother/repo#16 #12 word#17 #18"
-    assert [n for n, _ in T.references_of(text)] == [12, 18]
-    assert T.references_of(None) == []
-
-
-@pytest.mark.parametrize("sql", ["select ';' as a -- ;\n", "WITH x as (select 1) select * from x;", "/* c */ explain select 1"])
-def test_read_sql_is_allowed(sql):
-    T.assert_read_sql(sql)
-
-
-@pytest.mark.parametrize("sql", ["", "drop table x", "select 1; select 2", "insert into t select 1"])
-def test_other_sql_is_refused(sql):
-    with pytest.raises(ValueError):
-        T.assert_read_sql(sql)
-
-
 def test_shortest_path_takes_the_least_names(spark):
     edges = spark.createDataFrame([("item", a, "touches", "file", b) for a, b in (("1", "x"), ("2", "x"), ("2", "y"), ("1", "w"), ("3", "w"), ("3", "y"))], "src_type string, src string, rel string, dst_type string, dst string")
-    assert [r.node for r in G.shortest_path(edges, "1", "y").orderBy("step").collect()] == ["1", "w", "3", "y"]
-    assert G.shortest_path(edges, "1", "nowhere").count() == 0
+    assert [r.id for r in G.shortest_path(edges, ("item", "1"), ("file", "y")).orderBy("step").collect()] == ["1", "w", "3", "y"]
+    assert G.shortest_path(edges, ("item", "1"), ("file", "nowhere")).count() == 0 == G.shortest_path(edges, ("item", "1"), ("item", "y")).count()
+    odd = spark.createDataFrame([("item", "1", "touches", "file", "a>b"), ("item", "2", "touches", "file", "a>b"), ("label", "1", "x", "file", "c")], edges.schema)
+    assert [r.id for r in G.shortest_path(odd, ("item", "1"), ("item", "2")).orderBy("step").collect()] == ["1", "a>b", "2"]
+    assert {(r.type, r.id) for r in G.neighbourhood(odd, "item", "1", 5).collect()} == {("item", "1"), ("file", "a>b"), ("item", "2")}
+    assert G.neighbourhood(edges, "item", "1", 5, most=3).count() == 3
 
 
 def test_limits_are_validated(spark):
@@ -63,6 +49,12 @@ def test_a_batch_delivered_twice_changes_nothing(spark, tmp_path):
     store.upsert(batch, 1, "k", "updated", "seq")
     store.upsert(batch, 1, "k", "updated", "seq")
     assert sorted(map(tuple, store.read().collect())) == [(1, "b", 1), (2, "a", 1)]
+    one = spark.createDataFrame([(1, "c", 3)], batch.schema)
+    store.upsert(one, 2, "k", "updated", "seq")
+    assert len(set(store.manifest().values())) == 2  # only the touched bucket is new
+    store.upsert(one.limit(0), 3, "k", "updated", "seq")
+    store.expire(1)
+    assert store.versions() == [3] and sorted(map(tuple, store.read().collect())) == [(1, "c", 3), (2, "a", 1)]
 
 
 def test_evidence_over_the_cap_loses_whole_newest_parts(spark):
@@ -75,8 +67,8 @@ def test_evidence_over_the_cap_loses_whole_newest_parts(spark):
 
 
 def test_shortest_path_follows_long_chains(spark):
-    edges = spark.createDataFrame([("item", f"n{i:02d}", "touches", "file", f"n{i + 1:02d}") for i in range(10)], "src_type string, src string, rel string, dst_type string, dst string")
-    assert [r.node for r in G.shortest_path(edges, "n00", "n10").orderBy("step").collect()] == [f"n{i:02d}" for i in range(11)]
+    edges = spark.createDataFrame([("item", f"n{i:02d}", "blocked_by", "item", f"n{i + 1:02d}") for i in range(10)], "src_type string, src string, rel string, dst_type string, dst string")
+    assert [r.id for r in G.shortest_path(edges, ("item", "n00"), ("item", "n10")).orderBy("step").collect()] == [f"n{i:02d}" for i in range(11)]
 
 
 def test_bots_are_no_participants(spark):
