@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import forge as G
 from ..functions import extract as X
+from ..functions import payload as P
 from ..operators import bundle as U
 from ..operators import claims as K
 from ..operators import edges as E
@@ -642,6 +643,19 @@ def bundles(spark, sf_dir):
     return spark.createDataFrame([(b["id"], i, n, b["score"]) for b in found for i, n in enumerate(b["members"])], "id string, place int, number long, score double")
 
 
+@query("select event_type, count(*) as events, count(json_extract_string(props, '$.k')) as with_k, sum(try_cast(json_extract_string(props, '$.k') as bigint))::bigint as sum_k from events group by 1")
+def event_signals(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", P.signal(F.col("props"), "k", kind="bigint").alias("k"))
+    return events.groupBy("event_type").agg(F.count("*").alias("events"), F.count_if("k.present").alias("with_k"), F.sum("k.value").alias("sum_k"))
+
+
+@query("select rel, count(*) as edges from (" + (f"with {G.views('items')}, " + REFS.removeprefix("also ") + "z as (select 1) select rel, evidence from r") + ") where evidence ilike 'BODY@%' and not evidence ilike '%CLOSING%' group by rel")
+def edges_by_evidence(spark, sf_dir):
+    """Evidence is matched whatever its case."""
+    found = E.keyword_edges(Forge(spark, sf_dir).items).where(F.ilike("evidence", F.lit("BODY@%")) & ~F.ilike("evidence", F.lit("%CLOSING%")))
+    return found.groupBy("rel").agg(F.count("*").alias("edges"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -300,3 +300,37 @@ def test_postings_are_read_by_word(spark, tmp_path):
     page, counts = S.search(items, found, sizes, "red fox", 10)
     assert [(r.number, r.mode, r.phrase) for r in page.collect()] == [(1, "all", True), (2, "any", False)] and tuple(counts.first()) == (1, 2)
     assert S.with_snippets(page, "red fox")[0]["snippet"] == "«fox»"
+
+
+def test_tool_server(spark):
+    import pyspark.sql.functions as SF
+
+    from loomgraph.server import Server
+
+    server = Server(spark, "x", {"numbers": lambda s, d: s.range(5).select("id", SF.lit(d).alias("folder")), "broken": lambda s, d: s.table("nowhere")})
+    ask = lambda method, **params: json.loads(server.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})))
+    assert ask("initialize", protocolVersion="2024-11-05")["result"]["protocolVersion"] == "2024-11-05" and ask("ping")["result"] == {}
+    assert [t["name"] for t in ask("tools/list")["result"]["tools"]] == ["broken", "numbers"]
+    assert ask("tools/call", name="numbers", arguments={"limit": 2, "fields": ["id"]})["result"]["structuredContent"] == {"ok": True, "data": [{"id": 0}, {"id": 1}], "truncated": True}
+    assert "did you mean numbers" in ask("tools/call", name="number")["error"]["message"] and ask("tools/call", name="broken")["result"]["isError"]
+    assert ask("tools/call", name="numbers", arguments={"x": 1})["error"]["code"] == -32602 and ask("other")["error"]["code"] == -32601
+    assert json.loads(server.handle("{"))["error"]["code"] == -32700 and json.loads(server.handle("[]"))["error"]["code"] == -32600
+    assert server.handle('{"jsonrpc": "2.0", "method": "notifications/initialized"}') is None
+
+
+def test_payload_signals(spark):
+    from loomgraph.functions import payload as P
+
+    raws = ['{"reactions": {"+1": 3}, "milestone": null, "pull_request": {"url": "x"}}', '{"milestone": {"due_on": "2024-01-01T00:00:00Z"}, "reactions": "odd"}', "{}", None, "junk"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    got = {r.i: r for r in df.select("i", P.item_kind(F.col("raw")).alias("kind"), P.signals(F.col("raw")).alias("s"), P.instant(F.get_json_object("raw", "$.milestone.due_on")).alias("due"), P.merged_signal(F.lit("old"), P.signal(F.col("raw"), "milestone", "$.milestone.due_on")).alias("m")).collect()}
+    assert [got[i].kind for i in range(5)] == ["pr", "issue", "issue", "issue", "issue"]
+    assert tuple(got[0].s.reactions) == (True, 3) and tuple(got[0].s.due) == (True, None) and tuple(got[1].s.reactions) == (True, None) and tuple(got[2].s.due) == (False, None) and tuple(got[4].s.reactions) == (False, None)
+    assert [got[i].m for i in range(3)] == [None, "2024-01-01T00:00:00Z", "old"] and got[1].due is not None
+    with pytest.raises(ValueError):
+        P.strict_instant("2024-01-01T00:00:00")
+    assert P.strict_instant("2024-01-01T00:00:00Z").year == 2024
+    texts = spark.createDataFrame([("fine é", "cafÃ©"), ("bad �", None)], "a string, b string")
+    assert {tuple(r) for r in P.garbled(texts, ["a", "b"]).collect()} == {("a", 2, 1), ("b", 2, 1)}
+    state = spark.createDataFrame([("a", 90, True), ("b", None, True), ("c", 95, False)], "repo string, synced long, complete boolean")
+    assert [(r.age_s, r.stale) for r in P.freshness(state, 100).orderBy("repo").collect()] == [(10, False), (None, True), (5, True)]
