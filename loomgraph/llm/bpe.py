@@ -23,6 +23,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -156,14 +159,61 @@ class RankMap:
         return F.transform(folded, lambda x: piece(x).cast("int"))
 
 
-def words(text: Column, pattern: str) -> Column:
-    """The pre-tokeniser's matches; (?U) gives white space its Unicode meaning."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
+def latin(pattern: str) -> str | None:
+    """A pattern of the plain `re` module that matches in texts of Latin-1 characters alone what `pattern` does; None if it isn't known to.
+
+    Unicode classes become the Latin-1 characters they hold. Only literals, groups, classes, alternatives and repeats are known.
+    """
+    held = lambda kind: "".join(re.escape(chr(i)) for i in range(256) if unicodedata.category(chr(i)).startswith(kind))
+    space = r"\t-\r \x85\xa0"
+    out, i, inside = "", 0, False
+    while i < len(pattern):
+        if m := re.compile(r"\\p\{([A-Z][a-z]?)\}").match(pattern, i):
+            out += held(m.group(1)) if inside else f"[{held(m.group(1))}]"
+        elif m := re.compile(r"\\s").match(pattern, i):
+            out += space if inside else f"[{space}]"
+        elif not inside and (m := re.compile(r"\\S").match(pattern, i)):
+            out += f"[^{space}]"
+        elif m := re.compile(r"\(\?(?:!|=|:)|[^\\]").match(pattern, i):
+            if m.group() == "(" and pattern[i + 1 : i + 2] == "?":
+                return None
+            inside = m.group() == "[" or (inside and m.group() != "]")
+            out += m.group()
+        else:
+            return None
+        i = m.end()
+    return out
+
+
+def splitter(pattern: str):
+    """The pre-tokeniser: the matches of a text, one after the other."""
+    any_text, plain = regex.compile(pattern).findall, latin(pattern)
+    if plain is None:
+        return any_text
+    latin_text = re.compile(plain).findall
+
+    def find(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return any_text(text)
+        return latin_text(text)
+
+    return find
 
 
 def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts."""
-    return docs.select(F.explode(words(F.col(text_col), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) over all texts; counted by batches first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = splitter(pattern)
+        for batch in sliced(batches, 2048):
+            counts: Counter[str] = Counter()
+            for text in batch.column(0):
+                counts.update(find(text.as_py() or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def hot_part(counted: DataFrame, most: int) -> DataFrame:
@@ -220,12 +270,19 @@ def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _gapped(docs: DataFrame, uri: str, ranks: dict[bytes, int], pattern: str, text_col: str) -> DataFrame:
-    """(own, g): docs' columns as a struct, and the ids of each text as strings, cut at the words that the table lacks, and those words."""
-    at, rows, known = docs.columns.index(text_col), docs.select(packed(docs)), docs.sparkSession.sparkContext.broadcast(ranks)
+def _gapped(docs: DataFrame, uri: str, ranks: dict[bytes, int], pattern: str, text_col: str, keep_text: bool) -> DataFrame:
+    """(own, g): docs' columns as a struct, and the ids of each text as strings, cut at the words that the table lacks, and those words.
+
+    The text goes to Python once, and comes back only if it is to be kept.
+    """
+    rest = docs if keep_text else docs.drop(text_col)
+    if not rest.columns:
+        raise ValueError("no column is left")
+    rows, known = docs.select(packed(rest), F.col(text_col).cast("string").alias("text")), docs.sparkSession.sparkContext.broadcast(ranks)
+    own = docs.select(packed(rest)).schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, find = None, regex.compile(pattern).findall
+        table, find = None, splitter(pattern)
 
         def ids_of(word: str) -> str | None:
             found = table.get(word)
@@ -236,7 +293,7 @@ def _gapped(docs: DataFrame, uri: str, ranks: dict[bytes, int], pattern: str, te
         for batch in sliced(batches):
             table = _table(uri) if table is None else table
             segs, rest = [], []
-            for text in batch.column(0).field(at):
+            for text in batch.column(1):
                 found = find(text.as_py() or "")
                 ids = list(map(table.get, found))
                 if None in ids:
@@ -247,11 +304,15 @@ def _gapped(docs: DataFrame, uri: str, ranks: dict[bytes, int], pattern: str, te
             g = pa.StructArray.from_arrays([pa.array(segs, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string()))], ["segs", "rest"])
             yield pa.RecordBatch.from_arrays([batch.column(0), g], ["own", "g"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T._parse_datatype_string("g struct<segs:array<string>,rest:array<string>>").fields]))
+    if keep_text:  # one copy of it is enough
+        at, rows = docs.columns.index(text_col), docs.select(packed(docs))
+        whole = run
+        run = lambda batches: whole(pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(at)], ["own", "text"]) for b in batches)
+    return rows.mapInArrow(run, T.StructType([*own, *T._parse_datatype_string("g struct<segs:array<string>,rest:array<string>>").fields]))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", hot_words: int = HOT_WORDS) -> DataFrame:
-    """docs with the ids of each whole text, decimal and joined by one space, in column `out`."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", hot_words: int = HOT_WORDS, keep_text: bool = True) -> DataFrame:
+    """docs with the ids of each whole text, decimal and joined by one space, in column `out`; without the text if it isn't to be kept."""
     spark = docs.sparkSession
     ranked = RankMap(spark, ranks)
     joined = lambda word: F.array_join(ranked.fold(word).cast("array<string>"), " ")
@@ -260,7 +321,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     uri = shared_dir(spark, "bpe-table")
     hot.select("word", joined(F.col("word")).alias("ids")).write.parquet(uri)
     filled = F.zip_with("g.segs", F.transform("g.rest", joined), lambda seg, ids: F.array(seg, ids))
-    gapped = _gapped(docs.drop(out), uri, ranks, pattern, text_col)
+    gapped = _gapped(docs.drop(out), uri, ranks, pattern, text_col, keep_text)
     return gapped.select("own", F.array_join(F.filter(F.flatten(filled), lambda x: x != ""), " ").alias("made")).select("own.*", F.col("made").alias(out))
 
 

@@ -307,3 +307,17 @@ def test_windows_run_across_partitions(spark):
         assert roots(range(300), got) == roots(range(300), want) and len(want) > 100 and len(got) < 3 * 300 * 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_plain_splitting_equals_the_pattern():
+    import regex
+
+    plain = re.compile(bpe.latin(public_tokenizers.PATTERN)).findall
+    whole = regex.compile(public_tokenizers.PATTERN).findall
+    r = random.Random(4)
+    chars = [chr(i) for i in range(256)] + list(" \n\t'stredvml'") * 12
+    for _ in range(3000):
+        text = "".join(r.choices(chars, k=r.randint(0, 40)))
+        assert plain(text) == whole(text) == bpe.splitter(public_tokenizers.PATTERN)(text)
+    assert bpe.latin(r"(?i:x)|\w") is None and bpe.splitter(r"\w+")("a b") == ["a", "b"]
+    assert bpe.splitter(public_tokenizers.PATTERN)("œuvre 日本 x") == whole("œuvre 日本 x")
