@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs, bpe.read_ranks(public_tokenizers.path(queries.BPE_FILE)), public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs, bpe.read_ranks(public_tokenizers.path(queries.BPE_FILE)), public_tokenizers.PATTERN, keep_text=False)
     return encoded.select("doc_id", "lang", "source", bpe.n_ids(F.col("ids")).alias("n_tokens"), "ids")
 
 
