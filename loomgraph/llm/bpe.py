@@ -45,7 +45,7 @@ from .shingles import sliced
 
 #: Bounds of the word table: words that a task holds as a dictionary (some 200 bytes each), all its words (the others in arrays, some
 #: 40 bytes each), and bytes of a word. Only speed depends on them.
-HOT_WORDS, TABLE_WORDS, HOT_BYTES = 800_000, 2_500_000, 24
+HOT_WORDS, TABLE_WORDS, HOT_BYTES = 250_000, 2_000_000, 24
 #: Words of more characters are folded with a heap, in time n log n; the fold over arrays takes time that grows with the square.
 LONG = 64
 
@@ -236,7 +236,7 @@ class Rarer:
     """Words in arrays, found by the sorted hashes that Spark gave them; a word is compared, so an equal hash alone is no hit."""
 
     def __init__(self, hashes: np.ndarray, words: pa.Array, ids: pa.Array):
-        self.order = np.argsort(hashes, kind="stable")
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes, self.words, self.ids = hashes[self.order], words, ids
 
     def find(self, asked: list[str]) -> dict[str, str]:
@@ -251,15 +251,17 @@ class Rarer:
 
 def _table(uri: str) -> tuple[dict[str, str], Rarer]:
     """word -> ids joined by spaces, of frequent and of rarer words, from the shared folder; a task holds them no longer than it runs."""
-    import pyarrow.dataset
+    import pyarrow.parquet as pq
 
     fs, path = opened(uri)
     table: dict[str, str] = {}
     rarer = []
-    for batch in pa.dataset.dataset(path, filesystem=fs, format="parquet").to_batches(columns=["word", "ids", "hash", "often"]):
-        often = batch.filter(batch.column("often"))
-        table.update(zip(often.column("word").to_pylist(), often.column("ids").to_pylist(), strict=True))
-        rarer.append(batch.filter(pa.compute.invert(batch.column("often"))))
+    for info in fs.get_file_info(pa.fs.FileSelector(path)):
+        if info.path.endswith(".parquet"):
+            for batch in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(32_768, columns=["word", "ids", "hash", "often"], use_threads=False):
+                often = batch.filter(batch.column("often"))
+                table.update(zip(often.column("word").to_pylist(), often.column("ids").to_pylist(), strict=True))
+                rarer.append(batch.filter(pa.compute.invert(batch.column("often"))))
     rest = pa.Table.from_batches(rarer, rarer[0].schema).combine_chunks() if rarer else None
     if rest is None or not rest.num_rows:
         return table, Rarer(np.empty(0, dtype=np.int64), pa.array([], pa.string()), pa.array([], pa.string()))
