@@ -1,6 +1,6 @@
 """Byte-level BPE: Spark's higher-order functions fold ranked merges over the bytes of distinct words.
 
-encode: the distinct words of the whole corpus are counted (partial aggregation first). Those that occur most, TABLE_WORDS
+encode: the distinct words of the whole corpus are counted (partial aggregation first). Those that occur most, HOT_WORDS
 at most, are folded once and written as a word table to the shared folder. Each text is then split and looked up in
 one Arrow pass per document, which leaves gaps for words that the table lacks; those are folded where they stand, by
 the same expression, but for words of more than LONG characters (blobs, rules of dashes), which the Arrow pass folds with a heap
@@ -34,7 +34,6 @@ import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +42,10 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 from .common import cut, opened, packed, shared_dir
 from .shingles import sliced
 
-#: Bounds of the word table: words that a task holds as a dictionary (some 200 bytes each), all its words (the others in arrays, some
-#: 40 bytes each), and bytes of a word. Only speed depends on them.
-HOT_WORDS, TABLE_WORDS, HOT_BYTES = 250_000, 2_000_000, 24
+#: Bounds of the word table: words, and bytes of a word. Only speed depends on them.
+HOT_WORDS, HOT_BYTES = 800_000, 24
+#: Words that hold this character stay out of the table, where it parts the others.
+MARK = "\0"
 #: Words of more characters are folded with a heap, in time n log n; the fold over arrays takes time that grows with the square.
 LONG = 64
 
@@ -219,53 +219,36 @@ def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> Dat
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def least_counts(counted: DataFrame, *most: int) -> list[int]:
-    """For each of these ascending numbers the least n such that at most so many words of counted(word, n) have n or more."""
-    out, words, before = [], 0, (1 << 63) - 1
+def hot_part(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of counted(word, n) whose n is so high that at most `most` words have it."""
+    room, least = most, None
     for row in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        words += row["words"]
-        while len(out) < len(most) and words > most[len(out)]:
-            out.append(before)
-        if len(out) == len(most):
+        room -= row["words"]
+        if room < 0:
             break
-        before = row["n"]
-    return out + [0] * (len(most) - len(out))
+        least = row["n"]
+    return counted.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
-class Rarer:
-    """Words in arrays, found by the sorted hashes that Spark gave them; a word is compared, so an equal hash alone is no hit."""
-
-    def __init__(self, hashes: np.ndarray, words: pa.Array, ids: pa.Array):
-        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
-        self.hashes, self.words, self.ids = hashes[self.order], words, ids
-
-    def find(self, asked: list[str]) -> dict[str, str]:
-        if not len(self.hashes) or not asked:
-            return {}
-        own = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in asked), dtype=np.uint64, count=len(asked)).view(np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        hits = np.flatnonzero(self.hashes[at] == own)
-        rows = self.order[at[hits]]
-        return {asked[h]: i for h, k, i in zip(hits.tolist(), rows.tolist(), self.ids.take(pa.array(rows)).to_pylist(), strict=True) if self.words[k].as_py() == asked[h]}
-
-
-def _table(uri: str) -> tuple[dict[str, str], Rarer]:
-    """word -> ids joined by spaces, of frequent and of rarer words, from the shared folder; a task holds them no longer than it runs."""
+def _table(uri: str) -> dict[str, str]:
+    """word -> ids joined by spaces, from the shared folder; a task holds it no longer than it runs."""
     import pyarrow.parquet as pq
 
     fs, path = opened(uri)
     table: dict[str, str] = {}
-    rarer = []
     for info in fs.get_file_info(pa.fs.FileSelector(path)):
         if info.path.endswith(".parquet"):
-            for batch in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(32_768, columns=["word", "ids", "hash", "often"], use_threads=False):
-                often = batch.filter(batch.column("often"))
-                table.update(zip(often.column("word").to_pylist(), often.column("ids").to_pylist(), strict=True))
-                rarer.append(batch.filter(pa.compute.invert(batch.column("often"))))
-    rest = pa.Table.from_batches(rarer, rarer[0].schema).combine_chunks() if rarer else None
-    if rest is None or not rest.num_rows:
-        return table, Rarer(np.empty(0, dtype=np.int64), pa.array([], pa.string()), pa.array([], pa.string()))
-    return table, Rarer(rest.column("hash").to_numpy(), rest.column("word").chunk(0), rest.column("ids").chunk(0))
+            for batch in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(columns=["word", "ids"], use_threads=False):
+                table.update(zip(_strings(batch.column(0)), _strings(batch.column(1)), strict=True))
+    return table
+
+
+def _strings(array: pa.Array) -> list[str]:
+    """An array of strings without MARK, a few times faster than one by one."""
+    if not len(array):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array.cast(pa.string()))
+    return pa.compute.binary_join(whole, MARK)[0].as_py().split(MARK)
 
 
 def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -311,19 +294,22 @@ def _gapped(docs: DataFrame, uri: str, ranks: dict[bytes, int], pattern: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, find = None, splitter(pattern)
+
+        def ids_of(word: str) -> str | None:
+            found = table.get(word)
+            if found is None and len(word) > LONG:
+                found = " ".join(map(str, fold_long(word.encode(), known.value)))
+            return found
+
         for batch in sliced(batches):
-            if table is None:
-                table, rarer = _table(uri)
-            texts = [find(t.as_py() or "") for t in batch.column(1)]
-            looked_up = [list(map(table.get, found)) for found in texts]
-            missing = list({w for found, ids in zip(texts, looked_up, strict=True) if None in ids for w, x in zip(found, ids, strict=True) if x is None})
-            more = rarer.find(missing) | {w: " ".join(map(str, fold_long(w.encode(), known.value))) for w in missing if len(w) > LONG}
+            table = _table(uri) if table is None else table
             segs, rest = [], []
-            for found, ids in zip(texts, looked_up, strict=True):
-                gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-                for i in gaps:
-                    ids[i] = more.get(found[i])
-                gaps = [i for i in gaps if ids[i] is None]
+            for text in batch.column(1):
+                found = find(text.as_py() or "")
+                ids = list(map(table.get, found))
+                if None in ids:
+                    ids = [ids_of(w) if x is None else x for w, x in zip(found, ids, strict=True)]
+                gaps = [i for i, x in enumerate(ids) if x is None]
                 segs.append([" ".join(ids[i:j]) for i, j in zip([0, *(i + 1 for i in gaps)], [*gaps, len(ids)], strict=True)])
                 rest.append([found[i] for i in gaps])
             g = pa.StructArray.from_arrays([pa.array(segs, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string()))], ["segs", "rest"])
@@ -336,16 +322,16 @@ def _gapped(docs: DataFrame, uri: str, ranks: dict[bytes, int], pattern: str, te
     return rows.mapInArrow(run, T.StructType([*own, *T._parse_datatype_string("g struct<segs:array<string>,rest:array<string>>").fields]))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", hot_words: int = HOT_WORDS, table_words: int = TABLE_WORDS, keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", hot_words: int = HOT_WORDS, keep_text: bool = True) -> DataFrame:
     """docs with the ids of each whole text, decimal and joined by one space, in column `out`; without the text if it isn't to be kept."""
     spark = docs.sparkSession
     ranked = RankMap(spark, ranks)
     joined = lambda word: F.array_join(ranked.fold(word).cast("array<string>"), " ")
-    counted = cut(distinct_words(docs, pattern, text_col).where((F.octet_length("word") <= HOT_BYTES) & (F.col("n") > 1)), "bpe-words")
-    often, least = least_counts(counted, hot_words, max(hot_words, table_words))
-    hot = counted.where(F.col("n") >= least).repartition(max(2, spark.sparkContext.defaultParallelism))
+    apt = (F.octet_length("word") <= HOT_BYTES) & ~F.contains("word", F.lit(MARK)) & (F.col("n") > 1)
+    counted = cut(distinct_words(docs, pattern, text_col).where(apt), "bpe-words")
+    hot = hot_part(counted, hot_words).select("word").repartition(max(2, spark.sparkContext.defaultParallelism))
     uri = shared_dir(spark, "bpe-table")
-    hot.select("word", joined(F.col("word")).alias("ids"), F.xxhash64("word").alias("hash"), (F.col("n") >= often).alias("often")).write.parquet(uri)
+    hot.select("word", joined(F.col("word")).alias("ids")).write.parquet(uri)
     filled = F.zip_with("g.segs", F.transform("g.rest", joined), lambda seg, ids: F.array(seg, ids))
     gapped = _gapped(docs.drop(out), uri, ranks, pattern, text_col, keep_text)
     return gapped.select("own", F.array_join(F.filter(F.flatten(filled), lambda x: x != ""), " ").alias("made")).select("own.*", F.col("made").alias(out))

@@ -323,12 +323,8 @@ def test_plain_splitting_equals_the_pattern():
     assert bpe.splitter(public_tokenizers.PATTERN)("œuvre 日本 x") == whole("œuvre 日本 x")
 
 
-def test_rarer_words_are_found_by_their_hash(spark):
-    import pyarrow as pa
-
-    words = ["x", " été", "日本", "", "a longer word of more than thirty-two bytes"]
-    hashes = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(F.xxhash64("w")).collect()]
-    table = bpe.Rarer(np.array(hashes, dtype=np.int64), pa.array(words), pa.array([str(i) for i in range(5)]))
-    assert table.find([*words, "none"]) == {w: str(i) for i, w in enumerate(words)}
-    lying = bpe.Rarer(np.array(hashes, dtype=np.int64), pa.array(words[::-1]), pa.array(list("01234")))
-    assert lying.find(words) == {words[2]: "2"}
+def test_the_table_is_read_as_it_was_written(spark, tmp_path):
+    words = [" a", "", "été", "x\ny", "日本"] * 1000
+    rows = spark.createDataFrame([(f"{w}{i}", str(i)) for i, w in enumerate(words)], "word string, ids string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/t")
+    assert bpe._table(f"file:{tmp_path}/t") == {f"{w}{i}": str(i) for i, w in enumerate(words)}

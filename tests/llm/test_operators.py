@@ -102,18 +102,13 @@ def test_bpe(spark):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = ["", None, "Hello world's  end\n\n x", "naïve façade 😀👍🏽 日本語", "a" * 300, " \t\x1c\x85  ", "<|endoftext|>", "don't DON'T 123456 ...!!!", "\x00\x01", "abcabcabcabc " * 50, "Hello world's  end\n\n x"]
     rows = docs(spark, list(enumerate(texts))).withColumn("ids", F.lit("clash"))
-    for hot, table in ((10, 10), (0, 0), (3, 12), (0, 1000)):
-        encoded = bpe.encode(rows, ranks, public_tokenizers.PATTERN, hot_words=hot, table_words=table)
+    for hot in (10, 0):
+        encoded = bpe.encode(rows, ranks, public_tokenizers.PATTERN, hot_words=hot)
         for r in bpe.decode(encoded, ranks).select("text", "ids", "decoded", bpe.n_ids(F.col("ids")).alias("n")).collect():
             want = own.encode_ordinary(r.text or "")
             assert r.ids == " ".join(map(str, want)) and r.n == len(want) and bytes(r.decoded) == (r.text or "").encode()
 
 
-def test_least_counts(spark):
-    counted = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("d", 1)], "word string, n long")
-    assert bpe.least_counts(counted, 0, 1, 2, 3, 9) == [(1 << 63) - 1, 5, 5, 3, 0]
-
-
 def test_mixing(spark):
     rows = docs(spark, [(i, "w " * (i % 9)) for i in range(200)] + [(900, None)])
     got = mixing.mix(rows, {"domain": {"src0": 1, "src1": 5}, "lang": {"de": 0}}, 50, 2, 3)
