@@ -25,7 +25,6 @@ import base64
 import heapq
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +43,8 @@ from .shingles import sliced
 
 #: Bounds of the word table: words, and bytes of a word. Only speed depends on them.
 HOT_WORDS, HOT_BYTES = 800_000, 24
+#: A worker and its task hold a batch of texts each, four batches a core: the session's batches are made no larger than this.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 #: Words that hold this character stay out of the table, where it parts the others.
 MARK = "\0"
 #: Words of more characters are folded with a heap, in time n log n; the fold over arrays takes time that grows with the square.
@@ -205,18 +206,14 @@ def splitter(pattern: str):
     return find
 
 
-def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts; counted by batches first."""
+def words(text: Column, pattern: str) -> Column:
+    """The pre-tokeniser's matches; (?U) gives white space its Unicode meaning."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern)
-        for batch in sliced(batches, 2048):
-            counts: Counter[str] = Counter()
-            for text in batch.column(0):
-                counts.update(find(text.as_py() or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
+    """(word, n) over all texts."""
+    return docs.select(F.explode(words(F.col(text_col), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def hot_part(counted: DataFrame, most: int) -> DataFrame:
@@ -325,6 +322,8 @@ def _gapped(docs: DataFrame, uri: str, ranks: dict[bytes, int], pattern: str, te
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", hot_words: int = HOT_WORDS, keep_text: bool = True) -> DataFrame:
     """docs with the ids of each whole text, decimal and joined by one space, in column `out`; without the text if it isn't to be kept."""
     spark = docs.sparkSession
+    if int(spark.conf.get(BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     ranked = RankMap(spark, ranks)
     joined = lambda word: F.array_join(ranked.fold(word).cast("array<string>"), " ")
     apt = (F.octet_length("word") <= HOT_BYTES) & ~F.contains("word", F.lit(MARK)) & (F.col("n") > 1)
