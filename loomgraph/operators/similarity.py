@@ -1,24 +1,31 @@
 """Similar items by eight signals, admitted only through an anchor.
 
-Candidates come from equi-joins on what can anchor a pair: error signatures, common neighbours, shared files, co-changed files.
-Shared files must be half of the smaller set, so of a set only the rarest elements that such a share can't do without are joined (its
-prefix): a hub file brings pairs together only for items that have hardly another file. Scores are computed for admitted candidates
-alone, from sets in arrays and, for the words, from a join with their weights. All signals are symmetric.
+An anchor is a shared error signature, a common neighbour, files of which half of the smaller set are shared, or files that change
+together. The number of admitted pairs grows with the square of a group, so pairs are never shuffled or stored: items are dealt
+over blocks, asked items are sent to every block, and a task (similar_blocks.py) finds and scores the pairs of its block. Words
+travel as numbers. All signals are symmetric.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..storage import cut
+from .similar_blocks import Block, cells
 
 #: Weights of the signals, which of them anchor, the share of a hub, its weight, least shares and supports, basket sizes, days.
 WEIGHTS = {"lexical": 1.0, "title": 2.0, "signature": 4.0, "files_direct": 4.0, "files_analog": 1.0, "cochange": 3.0, "structural": 2.0, "context": 1.0}
 ANCHORS = ("signature", "files_direct", "structural", "cochange")
 HUB_SHARE, HUB_FLOOR, LEAST_SHARE, HUB_SUPPORT, BASKET, NEAR_DAYS = 0.5, 0.25, 0.5, 2, (2, 50), 30
+#: Words and items of a block (with signatures or not), parts of the asked items for blocks with signatures, partitions a task, words
+#: joined by broadcast. Only speed, memory and disk depend on them.
+BLOCK_WORDS, BLOCK_ITEMS, SPLIT, SPREAD, HOT = {True: 3_000_000, False: 10_000_000}, 200_000, 6, 4, 150_000
 
 
 def coupled(merged_files: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -43,94 +50,76 @@ def hub_files(merged_files: DataFrame, items: DataFrame, share: float = HUB_SHAR
     return merged_files.groupBy("path").agg(F.countDistinct("number").alias("n")).join(F.broadcast(total)).where(F.col("n") >= share * F.col("total")).select("path")
 
 
+def item_words(items: DataFrame) -> DataFrame:
+    """items with words and title_words: cheaper to find again than to keep or shuffle."""
+    return items.withColumns({"words": terms(F.concat_ws(" ", "title", "body")), "title_words": terms(F.col("title"))})
+
+
 def profiles(items: DataFrame, labels: DataFrame, paths: DataFrame, signatures: DataFrame, neighbours: DataFrame, hubs: DataFrame) -> DataFrame:
-    """One row an item: its words, title words, labels, files (with weights), signatures, neighbours. paths(number, path), signatures(number, signature), neighbours(number, other)."""
+    """One row an item: its number of words and title words, labels, files (with folders, names, hubs, weight), signatures, neighbours. paths(number, path), signatures(number, signature), neighbours(number, other)."""
     grouped = lambda rows, value, name: rows.groupBy("number").agg(F.array_sort(F.collect_set(value)).alias(name))
-    weighed = paths.distinct().join(hubs.select("path", F.lit(HUB_FLOOR).alias("w")), "path", "left").select("number", "path", F.coalesce("w", F.lit(1.0)).alias("w"))
-    files = weighed.groupBy("number").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.sum("w").alias("weight"))
+    weighed = paths.distinct().join(hubs.select("path", F.lit(True).alias("hub")), "path", "left").select("number", F.struct("path", F.coalesce("hub", F.lit(False)).alias("hub")).alias("file"))
+    files = grouped(weighed, "file", "files").select("number", F.col("files.path").alias("paths"), F.col("files.hub").alias("hubs"))
     parts = [grouped(labels, "name", "labels"), files, grouped(signatures, "signature", "signatures"), grouped(neighbours, "other", "neighbours")]
-    own = items.select("number", "author", "created", "due", terms(F.concat_ws(" ", "title", "body")).alias("words"), terms(F.col("title")).alias("title_words"))
+    own = item_words(items).select("number", F.size("words").alias("n_words"), F.size("title_words").alias("n_title"), "author", "created", "due")
     rows = reduce(lambda df, p: df.join(p, "number", "left"), parts, own)
-    empty = {c: F.coalesce(c, F.array()) for c in ("labels", "paths", "signatures", "neighbours")}
-    return rows.withColumns(empty | {"weight": F.coalesce("weight", F.lit(0.0))})
-
-
-def word_weights(profiles_: DataFrame) -> DataFrame:
-    """(word, idf): ln(1 + N / df) over all items."""
-    total = profiles_.agg(F.count("*").alias("total"))
-    return profiles_.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("word", F.log(1 + F.col("total") / F.col("df")).alias("idf"))
-
-
-def candidates(asked: DataFrame, all_: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) that an anchor could admit: asked and all_ are profiles, pairs is coupled's table."""
-
-    def met(column: str) -> DataFrame:
-        one = asked.select(F.col("number").alias("a"), F.explode(column).alias("x"))
-        return one.join(all_.select(F.col("number").alias("b"), F.explode(column).alias("x")), "x").select("a", "b")
-
-    both = asked.select("number", "paths").unionByName(all_.select("number", "paths")).distinct()
-    often = both.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
-    ranked = both.select("number", F.size("paths").alias("size"), F.explode("paths").alias("path")).join(often, "path")
-    place = F.row_number().over(Window.partitionBy("number").orderBy("n", "path"))  # the rarest first
-    ranked = ranked.withColumn("prefix", place <= F.col("size") - F.ceil(F.col("size") * LEAST_SHARE) + 1)
-    left = ranked.join(asked.select("number"), "number", "left_semi").select(F.col("number").alias("a"), "path", F.col("size").alias("sa"), F.col("prefix").alias("pa"))
-    right = ranked.join(all_.select("number"), "number", "left_semi").select(F.col("number").alias("b"), "path", F.col("size").alias("sb"), F.col("prefix").alias("pb"))
-    small_left = left.where("pa").join(right, "path").where("sa <= sb").select("a", "b")
-    small_right = left.join(right.where("pb"), "path").where("sb < sa").select("a", "b")
-    moved = left.join(pairs.where("anchors").select(F.col("fa").alias("path"), "fb"), "path").select("a", "fb").distinct().join(right.select("b", F.col("path").alias("fb")), "fb").select("a", "b")
-    return reduce(DataFrame.unionByName, [met("signatures"), met("neighbours"), small_left, small_right, moved]).where("a <> b").distinct()
-
-
-def _side(rows: DataFrame, end: str) -> DataFrame:
-    return rows.select(*[F.col(c).alias(end if c == "number" else f"{end}_{c}") for c in rows.columns])
-
-
-def _overlap(one: Column, two: Column) -> Column:
-    small = F.least(F.size(one), F.size(two))
-    return F.when(small > 0, F.size(F.array_intersect(one, two)) / small).otherwise(F.lit(0.0))
-
-
-def _analog(one: Column, two: Column) -> Column:
-    """Pairs of files that stand for each other: alone in a folder, or under a name, on either side without a shared one there."""
-
-    def by(key) -> Column:
-        within = lambda files, g: F.filter(files, lambda p: key(p) == g)
-        groups = F.array_intersect(F.transform(one, lambda p: key(p)), F.transform(two, lambda p: key(p)))
-        apart = F.filter(groups, lambda g: ~F.arrays_overlap(within(one, g), within(two, g)))
-        return F.transform(apart, lambda g: F.struct(F.array_min(within(one, g)).alias("a"), F.array_min(within(two, g)).alias("b")))
-
-    return F.array_distinct(F.concat(by(lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)), by(lambda p: F.regexp_extract(p, r"([^/]*)$", 1))))
-
-
-def components(found: DataFrame, asked: DataFrame, all_: DataFrame, idf: DataFrame, pairs: DataFrame, hubs: DataFrame) -> DataFrame:
-    """found(a, b) with the score of every signal and the share and lift that anchors need."""
-    rows = found.join(_side(asked, "a"), "a").join(_side(all_, "b"), "b")
-    col = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
-    sums = rows.select("a", "b", F.explode(F.array_intersect(*col("words"))).alias("word")).join(idf, "word").groupBy("a", "b").agg(F.sum("idf").alias("shared_idf"))
-    totals = all_.select("number", "words").unionByName(asked.select("number", "words")).distinct().select("number", F.explode("words").alias("word")).join(idf, "word").groupBy("number").agg(F.sum("idf").alias("idf"))
-    both_files = rows.select("a", "b", F.explode("a_paths").alias("fa"), "b_paths").select("a", "b", "fa", F.explode("b_paths").alias("fb")).join(pairs, ["fa", "fb"])
-    moved = both_files.groupBy("a", "b").agg(F.max(F.col("support") / F.greatest("na", "nb")).alias("cochange"), F.max("anchors").alias("lifted"))
-    hub = rows.select("a", "b", F.explode(F.array_intersect(*col("paths"))).alias("path")).join(hubs.select("path", F.lit(HUB_FLOOR).alias("w")), "path", "left").groupBy("a", "b").agg(F.sum(F.coalesce("w", F.lit(1.0))).alias("shared_weight"))
-    rows = reduce(lambda df, p: df.join(p, ["a", "b"], "left"), [sums, moved, hub], rows)
-    rows = rows.join(totals.withColumnsRenamed({"number": "a", "idf": "a_idf"}), "a", "left").join(totals.withColumnsRenamed({"number": "b", "idf": "b_idf"}), "b", "left")
-    or_zero = lambda c: F.coalesce(c, F.lit(0.0))
-    union = or_zero(F.col("a_idf")) + or_zero(F.col("b_idf")) - or_zero(F.col("shared_idf"))
-    near = F.coalesce(F.abs(F.col("a_created") - F.col("b_created")) <= NEAR_DAYS * 86_400, F.lit(False))
-    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
-    facets = F.arrays_overlap(*col("labels")).cast("int") + same("author").cast("int") + same("due").cast("int") + near.cast("int")
-    neighbours = F.size(F.array_union(*col("neighbours")))
-    analog = F.size(_analog(*col("paths")))
-    scores = {
-        "lexical": F.when(union > 0, or_zero(F.col("shared_idf")) / union).otherwise(F.lit(0.0)),
-        "title": _overlap(*col("title_words")),
-        "signature": _overlap(*col("signatures")),
-        "files_direct": or_zero(F.col("shared_weight") / (F.col("a_weight") + F.col("b_weight") - F.col("shared_weight"))),
-        "files_analog": F.when(analog > 0, F.least(F.lit(1.0), analog / F.greatest(F.lit(1), F.least(F.size("a_paths"), F.size("b_paths"))))).otherwise(F.lit(0.0)),
-        "structural": F.when(neighbours > 0, F.size(F.array_intersect(*col("neighbours"))) / neighbours).otherwise(F.lit(0.0)),
-        "context": facets / 4,
-        "cochange": or_zero(F.col("cochange")),
-    }
-    return rows.select("a", "b", *[v.cast("double").alias(k) for k, v in scores.items()], (_overlap(*col("paths")) >= LEAST_SHARE).alias("share"), F.coalesce("lifted", F.lit(False)).alias("lifted"))
+    rows = rows.withColumns({c: F.coalesce(c, F.array()) for c in ("labels", "paths", "hubs", "signatures", "neighbours")})
+    part = lambda pattern: F.transform("paths", lambda p: F.regexp_extract(p, pattern, 1))
+    weight = F.aggregate("hubs", F.lit(0.0), lambda sum_, hub: sum_ + F.when(hub, HUB_FLOOR).otherwise(1.0))
+    return rows.withColumns({"folders": part(r"^(.*)/[^/]*$"), "names": part(r"([^/]*)$"), "weight": weight})
+
+
+def vocabulary(items: DataFrame) -> DataFrame:
+    """(word, df, id, idf) of the words that two items hold at least: id counts from 0, idf is ln(1 + N / df) over all items. Written once."""
+    total = items.agg(F.count("*").alias("total"))
+    often = item_words(items).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).where("df > 1").join(F.broadcast(total))
+    rows = cut(often.select("word", "df", F.log(1 + F.col("total") / F.col("df")).alias("idf"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "similar-words")
+    parts = rows.groupBy("part").agg(F.min("at").alias("least"), (F.max("at") - F.min("at") + 1).alias("n"))  # a row a task that wrote
+    before = parts.select("part", "least", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "part").select("word", "df", "part", (F.col("before") + F.col("at") - F.col("least")).cast("int").alias("id"), "idf")
+
+
+def numbered(profiles_: DataFrame, items: DataFrame, words: DataFrame) -> DataFrame:
+    """profiles with the items' words as an array of id * 2, plus 1 in the title, and idf, the sum over all words. The HOT commonest words are joined by broadcast."""
+    counts = words.agg(*[F.count_if(F.col("df") >= 2**k).alias(f"n{k}") for k in range(1, 40)]).first()
+    least = next(2**k for k in range(1, 40) if counts[f"n{k}"] <= HOT)
+    each = item_words(items).select("number", F.explode("words").alias("word"), F.array_contains("title_words", F.col("word")).alias("titled"))
+    common, rare = (words.where(x).select("word", "id", "idf") for x in (F.col("df") >= least, F.col("df") < least))
+    found = each.join(F.broadcast(common), "word").unionByName(each.join(F.broadcast(common.select("word")), "word", "left_anti").join(rare, "word"))
+    own = found.groupBy("number").agg(F.collect_list((F.col("id") * 2 + F.col("titled").cast("int")).cast("int")).alias("codes"), F.sum("idf").alias("idf"))
+    total = profiles_.agg(F.log(1 + F.count("*")).alias("alone"))
+    rows = profiles_.join(own, "number", "left").join(F.broadcast(total)).withColumn("codes", F.array_sort(F.coalesce("codes", F.array().cast("array<int>"))))
+    alone = (F.col("n_words") - F.size("codes")) * F.col("alone")  # a word that no other item holds
+    return rows.select(*profiles_.columns, F.col("codes").alias("words"), (F.coalesce("idf", F.lit(0.0)) + alone).alias("idf"))
+
+
+def scored(asked: DataFrame, all_: DataFrame, items: DataFrame, pairs: DataFrame, best: int | None = None) -> DataFrame:
+    """(a, b, signals, share, lifted) of the admitted pairs of asked(number) with all_, the profiles of items; pairs is coupled's table.
+
+    best leaves out pairs that can't be among so many best of their a by total.
+    """
+    with_signature = F.size("signatures") > 0
+    sized = all_.groupBy(with_signature.alias("s")).agg(F.sum("n_words").alias("words"), F.count("*").alias("n")).collect()
+    blocks = lambda s: max([1, *[math.ceil(max(r["words"] / BLOCK_WORDS[s], r["n"] / BLOCK_ITEMS)) for r in sized if r["s"] == s]])
+    n_signed, n_rest = blocks(True), blocks(False)
+    tasks = n_signed * SPLIT + n_rest
+    words = vocabulary(items)
+    to = all_.select("number", "paths").join(asked.select("number").distinct(), "number", "left_semi").select("number", F.explode("paths").alias("fa")).join(pairs, "fa")
+    to = to.groupBy("number", "fb").agg(F.max(F.col("support") / F.greatest("na", "nb")).alias("by"), F.max("anchors").alias("up")).groupBy("number").agg(F.collect_list(F.struct("fb", "by", "up")).alias("moved"))
+    rows = numbered(all_, items, words).join(asked.select("number", F.lit(True).alias("asks")).distinct(), "number", "left").join(to, "number", "left")
+    own_tasks = F.when(with_signature, F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda c: F.pmod(F.hash("number"), F.lit(n_signed)) * SPLIT + c)).otherwise(F.array(n_signed * SPLIT + F.pmod(F.hash("number"), F.lit(n_rest))))
+    share = F.pmod(F.xxhash64("number"), F.lit(SPLIT)).cast("int")
+    asks = F.concat(F.transform(F.sequence(F.lit(0), F.lit(n_signed - 1)), lambda b: b * SPLIT + share), F.sequence(F.lit(n_signed * SPLIT), F.lit(tasks - 1)))
+    moved = lambda c: F.coalesce(F.when(F.col("kind") == 2, F.col(f"moved.{c}")), F.array())
+    of = lambda kind: lambda t: F.struct(t.cast("int").alias("task"), F.lit(kind).alias("kind"))
+    dealt = F.concat(F.transform(own_tasks, of(1)), F.transform(F.when(F.col("asks"), asks).otherwise(F.array().cast("array<int>")), of(2)))
+    rows = rows.select("*", F.explode(dealt).alias("to")).select("*", "to.*").withColumns({"moved_to": moved("fb"), "moved_by": moved("by"), "moved_up": moved("up")}).drop("asks", "moved", "to")
+    weights = words.groupBy("part").agg(F.collect_list(F.struct("id", "idf")).alias("w")).select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(0).alias("kind"), F.col("w.id").alias("words"), F.col("w.idf").alias("moved_by"))
+    rows = rows.unionByName(weights, allowMissingColumns=True).repartition(SPREAD * tasks, "task").sortWithinPartitions("task", "kind")
+    make = partial(Block, weights=WEIGHTS, hub_weight=HUB_FLOOR, least_share=LEAST_SHARE, near_days=NEAR_DAYS, best=best)
+    names = [("a", "long"), ("b", "long"), *[(n, "double") for n in WEIGHTS], ("share", "boolean"), ("lifted", "boolean")]
+    arrow = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    return rows.mapInArrow(cells(make, pa.schema([(n, arrow[t]) for n, t in names])), ", ".join(f"{n} {t}" for n, t in names))
 
 
 def anchored(scored: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:

@@ -399,24 +399,19 @@ def triage_page(spark, sf_dir):
 # ---- similarity
 
 
-def _profiles(f: Forge) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(issues that name files or errors, all items, co-changed files, hub files), written once."""
+def _similar(f: Forge, best: int | None = None) -> DataFrame:
+    """Scores of issues that name files or errors with all items; profiles and co-changed files are written once."""
     merged = I.merged_files(f.pr_files, f.items)
     hubs = cut(Y.hub_files(merged, f.items), "similar-hubs")
     fenced = f.items.where(F.col("body").contains("```"))
     signatures = fenced.select("number", F.explode(X.signatures(F.col("body"))).alias("s")).select("number", F.concat_ws("|", "s.exception", "s.line").alias("signature"))
     ends = T3.item_edges(_edges(f).where("rel <> 'reverts'"), ("mentions", "branch_ref", "blocked_by", "child_of"))
     neighbours = ends.select(F.col("a").alias("number"), F.col("b").alias("other")).unionByName(ends.select(F.col("b").alias("number"), F.col("a").alias("other")))
-    paths = _paths(f).unionByName(f.pr_files.where(I.kept(F.col("status"))).select("number", "path"))
+    named = cut(_paths(f), "similar-named")
+    paths = named.unionByName(f.pr_files.where(I.kept(F.col("status"))).select("number", "path"))
     rows = cut(Y.profiles(f.items, f.labels, paths, signatures, neighbours, hubs), "similar-profiles")
-    asked = rows.join(_paths(f).select("number").unionByName(signatures.select("number")).distinct(), "number", "left_semi")
-    return asked, rows, cut(Y.coupled(merged, hubs), "similar-coupled"), hubs
-
-
-def _similar(f: Forge) -> DataFrame:
-    asked, rows, pairs, hubs = _profiles(f)
-    found = cut(Y.candidates(asked, rows, pairs), "similar-candidates")
-    return Y.components(found, asked, rows, Y.word_weights(rows), pairs, hubs)
+    asked = named.select("number").unionByName(rows.where("size(signatures) > 0").select("number"))
+    return Y.scored(asked, rows, f.items, cut(Y.coupled(merged, hubs), "similar-coupled"), best)
 
 
 _SIMILAR = REFS + _ISSUE_PATHS + """
@@ -458,7 +453,7 @@ def similar_signals(spark, sf_dir):
 @query(_SIMILAR + """tt as (select *, round(lexical + 2 * title + 4 * signature + 4 * files_direct + files_analog + 3 * cochange + 2 * structural + context, 9)::double as total from sc where share or lifted or signature > 0 or structural > 0)
   select a, b, total, rank from (select *, row_number() over (partition by a order by total desc, b)::int as rank from tt) where rank <= 5""", *_SIMILAR_TABLES)
 def similar_ranked(spark, sf_dir):
-    return Y.ranked(Y.anchored(_similar(Forge(spark, sf_dir))), 5).select("a", "b", F.round("total", 9).alias("total"), "rank")
+    return Y.ranked(Y.anchored(_similar(Forge(spark, sf_dir), 5)), 5).select("a", "b", F.round("total", 9).alias("total"), "rank")
 
 
 # ---- integrity and exports
