@@ -447,7 +447,8 @@ _SIGNALS = ("lexical", "title", "signature", "files_direct", "files_analog", "co
 
 @query(_SIMILAR + "z as (select 1) select a, b, " + ", ".join(f"round({c}, 9)::double as {c}" for c in _SIGNALS) + " from sc where share or lifted or signature > 0 or structural > 0", *_SIMILAR_TABLES)
 def similar_signals(spark, sf_dir):
-    return Y.anchored(_similar(Forge(spark, sf_dir))).select("a", "b", *[F.round(c, 9).alias(c) for c in _SIGNALS])
+    nine = lambda c: F.floor(F.col(c) * 1e9 + 0.5) / 1e9  # noqa: E731  no score is negative; many rows, and round() goes through decimals
+    return Y.anchored(_similar(Forge(spark, sf_dir))).select("a", "b", *[nine(c).alias(c) for c in _SIGNALS])
 
 
 @query(_SIMILAR + """tt as (select *, round(lexical + 2 * title + 4 * signature + 4 * files_direct + files_analog + 3 * cochange + 2 * structural + context, 9)::double as total from sc where share or lifted or signature > 0 or structural > 0)
