@@ -294,7 +294,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     whole_groups = asked.where("blocks = 1").select("id", _task(0, F.lit("g"), "grp"), F.col("id").alias("label"), F.lit(False).alias("probe"))
     if large:
         # of groups too large for a task, the sets that hot shingles join are grouped again; other pairs are looked at one by one
-        part = meet.join(asked.where("blocks > 1").select(F.col("id").alias("a")), "a", "left_semi")
+        part = cut(meet.join(asked.where("blocks > 1").select(F.col("id").alias("a")), "a", "left_semi"), "join-part")
         asked, large = _sized(part.where("star"), sizes)
         first_of = part.where("not star").select("a", F.col("b").alias("id"), _task(1, F.lit("p"), "a", F.pmod(F.xxhash64("b"), F.expr(f"count(*) over (partition by a) div {FAN} + 1"))))
         probing = first_of.select("task", F.col("a").alias("id")).distinct().withColumn("probe", F.lit(True))

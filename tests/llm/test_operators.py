@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, components, embed_dedup, exact_dedup, license_scan, mixing, ngram_join, sentence_spans, toxicity, url_filter, warc
@@ -59,6 +61,29 @@ def test_components(spark):
     assert got == {i: c for i, c in want.items() if any(i in p and p[0] != p[1] for p in links)}
 
 
+def test_components_of_chains_and_hubs(spark):
+    r = random.Random(5)
+    own = list(range(1200))
+    r.shuffle(own)
+    links = [*itertools.pairwise(own[:400]), *((own[400], i) for i in own[401:700]), *((i, own[900]) for i in own[700:900]), (own[450], own[750]), *itertools.pairwise(sorted(own[1000:]))]
+    got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == roots({x for p in links for x in p}, links)
+
+
+def test_components_plans_stay_short(spark, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+
+    def watched(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 3) for i in range(40)], "a long, b long")
+    links = links.join(spark.range(80).withColumn("a", F.col("id")), "a", "left_semi")
+    assert components.components(links).count() == 60
+    assert len(plans) > 2 and max(p.count("Join") for p in plans) == 1 and sum("LeftSemi" in line for p in plans for line in p.split("\n")) == 1
+
+
 def test_exact_dedup(spark):
     texts = [(1, "Abc"), (2, "abc"), (3, "ÀBC"), (4, "àbc"), (5, None), (6, ""), (7, "only"), (7, "only"), (8, "z" * 100_000)]
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs(spark, texts)).collect()}
