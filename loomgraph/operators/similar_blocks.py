@@ -86,9 +86,9 @@ def _split(column: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
 class Block:
     LISTS = ("labels", "paths", "folders", "names", "signatures", "neighbours")
 
-    def __init__(self, idf: np.ndarray, rows: pa.RecordBatch, weights: dict[str, float], hub_weight: float, least_share: float, near_days: int, best: int | None):
+    def __init__(self, idf: np.ndarray, rows: pa.RecordBatch, weights: dict[str, float], hub_weight: float, least_share: float, near_days: int, best: int | None, every: bool = False):
         col = rows.column
-        self.idf, self.weights, self.hub_weight, self.least_share, self.near_s, self.best = idf, weights, hub_weight, least_share, near_days * 86_400, best
+        self.idf, self.weights, self.hub_weight, self.least_share, self.near_s, self.best, self.every = idf, weights, hub_weight, least_share, near_days * 86_400, best, every
         self.number = col("number").to_numpy()
         words, title = _split(col("words"))
         self.lists = {c: Index(col(c)) for c in self.LISTS} | {"words": Index(words), "title": Index(title)}
@@ -102,7 +102,7 @@ class Block:
         self.moved, self.lifted = np.zeros(len(self.number)), np.zeros(len(self.number), bool)
 
     def score(self, rows: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        """Columns a, b, signals, share, lifted of the admitted pairs of each asked item."""
+        """Columns a, b, signals, share, lifted of the admitted pairs of each asked item, or of every pair."""
         col, L = rows.column, self.lists
         words, title = _split(col("words"))
         own = {c: Lists(col(c), L[c].known) for c in self.LISTS} | {"words": Lists(words, L["words"].known), "title": Lists(title, L["title"].known)}
@@ -127,7 +127,7 @@ class Block:
             sets = [L["signatures"].holders(had("signatures"))[0], L["neighbours"].holders(had("neighbours"))[0], L["paths"].holders(paths)[0], by_move]
             for s in sets:
                 self.mark[s] = True
-            met = np.flatnonzero(self.mark)
+            met = np.arange(len(self.mark)) if self.every else np.flatnonzero(self.mark)
             self.mark[met] = False
             met = met[self.number[met] != numbers[i]]
             if not len(met):
@@ -141,7 +141,7 @@ class Block:
             files = L["paths"].shared(paths, np.ones(len(paths)), met)
             share = (small > 0) & (files / np.maximum(small, 1) >= self.least_share)
             signature, structural = count("signatures", met), count("neighbours", met)
-            keep = share | self.lifted[met] | (signature > 0) | (structural > 0)
+            keep = share | self.lifted[met] | (signature > 0) | (structural > 0) | self.every
             met, small, share, signature, structural = (x[keep] for x in (met, small, share, signature, structural))
             cochange, lifted = self.moved[met], self.lifted[met]
             self.moved[by_move], self.lifted[by_move] = 0, False

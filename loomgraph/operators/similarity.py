@@ -87,16 +87,16 @@ def numbered(profiles_: DataFrame, items: DataFrame, words: DataFrame) -> DataFr
     common, rare = (words.where(x).select("word", "id", "idf") for x in (F.col("df") >= least, F.col("df") < least))
     found = each.join(F.broadcast(common), "word").unionByName(each.join(F.broadcast(common.select("word")), "word", "left_anti").join(rare, "word"))
     own = found.groupBy("number").agg(F.collect_list((F.col("id") * 2 + F.col("titled").cast("int")).cast("int")).alias("codes"), F.sum("idf").alias("idf"))
-    total = profiles_.agg(F.log(1 + F.count("*")).alias("alone"))
+    total = items.agg(F.log(1 + F.count("*")).alias("alone"))
     rows = profiles_.join(own, "number", "left").join(F.broadcast(total)).withColumn("codes", F.array_sort(F.coalesce("codes", F.array().cast("array<int>"))))
     alone = (F.col("n_words") - F.size("codes")) * F.col("alone")  # a word that no other item holds
     return rows.select(*profiles_.columns, F.col("codes").alias("words"), (F.coalesce("idf", F.lit(0.0)) + alone).alias("idf"))
 
 
-def scored(asked: DataFrame, all_: DataFrame, items: DataFrame, pairs: DataFrame, best: int | None = None) -> DataFrame:
-    """(a, b, signals, share, lifted) of the admitted pairs of asked(number) with all_, the profiles of items; pairs is coupled's table.
+def scored(asked: DataFrame, all_: DataFrame, items: DataFrame, pairs: DataFrame, best: int | None = None, every: bool = False) -> DataFrame:
+    """(a, b, signals, share, lifted) of the admitted pairs of asked(number) with all_, profiles of items; pairs is coupled's table.
 
-    best leaves out pairs that can't be among so many best of their a by total.
+    best leaves out pairs that can't be among so many best of their a by total; every gives all pairs, admitted or not.
     """
     with_signature = F.size("signatures") > 0
     sized = all_.groupBy(with_signature.alias("s")).agg(F.sum("n_words").alias("words"), F.count("*").alias("n")).collect()
@@ -116,7 +116,7 @@ def scored(asked: DataFrame, all_: DataFrame, items: DataFrame, pairs: DataFrame
     rows = rows.select("*", F.explode(dealt).alias("to")).select("*", "to.*").withColumns({"moved_to": moved("fb"), "moved_by": moved("by"), "moved_up": moved("up")}).drop("asks", "moved", "to")
     weights = words.groupBy("part").agg(F.collect_list(F.struct("id", "idf")).alias("w")).select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(0).alias("kind"), F.col("w.id").alias("words"), F.col("w.idf").alias("moved_by"))
     rows = rows.unionByName(weights, allowMissingColumns=True).repartition(SPREAD * tasks, "task").sortWithinPartitions("task", "kind")
-    make = partial(Block, weights=WEIGHTS, hub_weight=HUB_FLOOR, least_share=LEAST_SHARE, near_days=NEAR_DAYS, best=best)
+    make = partial(Block, weights=WEIGHTS, hub_weight=HUB_FLOOR, least_share=LEAST_SHARE, near_days=NEAR_DAYS, best=best, every=every)
     names = [("a", "long"), ("b", "long"), *[(n, "double") for n in WEIGHTS], ("share", "boolean"), ("lifted", "boolean")]
     arrow = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     return rows.mapInArrow(cells(make, pa.schema([(n, arrow[t]) for n, t in names])), ", ".join(f"{n} {t}" for n, t in names))

@@ -399,16 +399,21 @@ def triage_page(spark, sf_dir):
 # ---- similarity
 
 
-def _similar(f: Forge, best: int | None = None) -> DataFrame:
-    """Scores of issues that name files or errors with all items; profiles and co-changed files are written once."""
+def _evidence(f: Forge) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(merged files, paths that issues name, files of items, error signatures, neighbours)."""
     merged = I.merged_files(f.pr_files, f.items)
-    hubs = cut(Y.hub_files(merged, f.items), "similar-hubs")
     fenced = f.items.where(F.col("body").contains("```"))
     signatures = fenced.select("number", F.explode(X.signatures(F.col("body"))).alias("s")).select("number", F.concat_ws("|", "s.exception", "s.line").alias("signature"))
     ends = T3.item_edges(_edges(f).where("rel <> 'reverts'"), ("mentions", "branch_ref", "blocked_by", "child_of"))
     neighbours = ends.select(F.col("a").alias("number"), F.col("b").alias("other")).unionByName(ends.select(F.col("b").alias("number"), F.col("a").alias("other")))
     named = cut(_paths(f), "similar-named")
-    paths = named.unionByName(f.pr_files.where(I.kept(F.col("status"))).select("number", "path"))
+    return merged, named, named.unionByName(f.pr_files.where(I.kept(F.col("status"))).select("number", "path")), signatures, neighbours
+
+
+def _similar(f: Forge, best: int | None = None) -> DataFrame:
+    """Scores of issues that name files or errors with all items; profiles and co-changed files are written once."""
+    merged, named, paths, signatures, neighbours = _evidence(f)
+    hubs = cut(Y.hub_files(merged, f.items), "similar-hubs")
     rows = cut(Y.profiles(f.items, f.labels, paths, signatures, neighbours, hubs), "similar-profiles")
     asked = named.select("number").unionByName(rows.where("size(signatures) > 0").select("number"))
     return Y.scored(asked, rows, f.items, cut(Y.coupled(merged, hubs), "similar-coupled"), best)
@@ -628,11 +633,12 @@ def eval_pairs(spark, sf_dir):
 def bundles(spark, sf_dir):
     """Bundles of the best open issues (their number is the feature)."""
     f = Forge(spark, sf_dir)
-    top = [(r["number"], r["total"]) for r in T3.with_rank(_scored(f)).where("rank <= 50").select("number", "total").collect()]
-    asked, rows, coupled, hubs = _profiles(f)
-    numbers = [n for n, _ in top]
-    own = rows.where(F.col("number").isin(numbers))
-    scored = cut(U.pool_pairs(spark, numbers, own, Y.word_weights(rows), coupled, hubs), "bundle-pairs")
+    top = [(r["number"], r["total"]) for r in T3.with_rank(_scored(f)).where("rank <= 50").select("number", F.round("total", 9).alias("total")).collect()]
+    pool = F.col("number").isin([n for n, _ in top])
+    merged, _, paths, signatures, neighbours = _evidence(f)
+    hubs = cut(Y.hub_files(merged, f.items), "bundle-hubs")
+    own = cut(Y.profiles(*[t.where(pool) for t in (f.items, f.labels, paths, signatures, neighbours)], hubs), "bundle-profiles")
+    scored = cut(U.pool_pairs(own, f.items, cut(Y.coupled(merged, hubs), "bundle-coupled")), "bundle-pairs")
     pairs = U.judged(scored)
     files = {r["number"]: frozenset(r["paths"]) for r in own.select("number", "paths").collect()}
     found = U.grow([U.Member(n, s, files.get(n, frozenset())) for n, s in top], pairs, U.merge_candidates(pairs), {r["path"] for r in hubs.collect()}, U.Rules(floor=0.5))

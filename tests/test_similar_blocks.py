@@ -5,6 +5,7 @@ import pytest
 from test_catalog import SF, duck, rows  # noqa: F401
 
 from loomgraph import storage
+from loomgraph.operators import bundle as U
 from loomgraph.operators import similarity as Y
 from loomgraph.operators.similar_blocks import first
 from loomgraph.plans import catalog
@@ -29,3 +30,30 @@ def test_first_keeps_ties_by_number():
     assert sorted(first(totals, np.array([1, 9, 8, 7, 2, 6]), 2)) == [3, 5]
     assert list(first(np.array([0.0009765625, 0.000976563]), np.array([2, 1]), 1)) == [1]
     assert sorted(first(totals, np.arange(6), 6)) == list(range(6))
+
+
+def test_bundles_query(spark, duck):  # noqa: F811
+    """The bundles that grow from the SQL's totals and pairs, for the whole pool of open issues."""
+    top = duck.execute(f"select number, total from ({catalog.oracle_sql()['triage_totals']}) where rank <= 50").fetchall()
+    numbers = [n for n, _ in top]
+    sql, asked = catalog.oracle_sql()["similar_signals"], "q as (select number from ip union select number from sg)"
+    assert sql.count(asked) == 1 and len(numbers) == 50
+    sql = sql.replace(asked, f"q as (select unnest({numbers}::bigint[]) as number)")
+    got = duck.execute(f"select * from ({sql}) where a < b and b in (select unnest({numbers}::bigint[]))").fetchdf().to_dict("records")
+    pairs = [{"a": r["a"], "b": r["b"], "anchors": ["any"], "title": r["title"], "total": sum(w * r[n] for n, w in Y.WEIGHTS.items())} for r in got]
+    files = dict(duck.execute("select number, list(path) from (select doc_id * 2 + 1 as number, 'part/' || (doc_id % 300) || '.py' as path from documents where doc_id % 8 in (2, 3) union select doc_id * 2 + 1, 'part/' || (doc_id % 211) || '.py' from documents where doc_id % 8 = 3) group by 1").fetchall())
+    found = U.grow([U.Member(n, s, frozenset(files.get(n, ()))) for n, s in top], pairs, [], set(), U.Rules(floor=0.5))
+    want = {(b["id"], i, n, round(b["score"], 6)) for b in found for i, n in enumerate(b["members"])}
+    assert want and {(*r[:3], round(r.score, 6)) for r in catalog.queries()["bundles"](spark, SF).collect()} == want
+
+
+def test_every_pair_of_a_pool(spark):
+    """Pairs without an anchor come too; words weigh by all items, also those outside the pool."""
+    items = spark.createDataFrame([(n, t, "", "a", 0, None) for n, t in [(1, "alpha beta"), (2, "alpha gamma"), (3, "delta"), (4, "alpha")]], "number long, title string, body string, author string, created long, due long")
+    none = lambda schema: spark.createDataFrame([], schema)
+    labels, paths, signatures, neighbours, hubs = (none(s) for s in ("number long, name string", "number long, path string", "number long, signature string", "number long, other long", "path string"))
+    own = Y.profiles(items.where("number < 4"), labels, paths, signatures, neighbours, hubs)
+    pairs = Y.coupled(none("number long, path string"), hubs)
+    got = {(r.a, r.b): r for r in U.pool_pairs(own, items, pairs).collect()}
+    alpha, alone = np.log(1 + 4 / 3), np.log(1 + 4)
+    assert set(got) == {(1, 2), (1, 3), (2, 3)} and abs(got[1, 2].lexical - alpha / (alpha + 2 * alone)) < 1e-12 and got[1, 3].lexical == 0
