@@ -26,16 +26,19 @@ HUB_SHARE, HUB_FLOOR, LEAST_SHARE, HUB_SUPPORT, BASKET, NEAR_DAYS = 0.5, 0.25, 0
 #: Words and items of a block (with signatures or not), parts of the asked items for blocks with signatures, partitions a task, words
 #: joined by broadcast. Only speed, memory and disk depend on them.
 BLOCK_WORDS, BLOCK_ITEMS, SPLIT, SPREAD, HOT = {True: 3_000_000, False: 10_000_000}, 200_000, 6, 4, 150_000
-
-
-def coupled(merged_files: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(fa, fb, support, na, nb, anchors): co-changed files of merged pull requests with 2 to 50 files, both ways."""
-    files = merged_files.select("number", "path").distinct()
-    sized = files.groupBy("number").agg(F.count("*").alias("n")).where(F.col("n").between(*BASKET)).select("number")
-    baskets = files.join(sized, "number")
-    population = baskets.agg(F.countDistinct("number").alias("population"))
-    support = baskets.groupBy("path").agg(F.count("*").alias("n"))
-    pairs = baskets.withColumnRenamed("path", "fa").join(baskets.withColumnRenamed("path", "fb"), "number").where("fa <> fb").groupBy("fa", "fb").agg(F.count("*").alias("support"))
+#: Keys (numbers of items, paths) of a semi-join by broadcast, at most; beyond, they are shuffled. Only speed depends on it.
+FEW = 1_000_000
+
+
+def coupled(merged_files: DataFrame, hubs: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(fa, fb, support, na, nb, anchors): co-changed files of merged pull requests with 2 to 50 files, both ways; with of(path) only these as fa."""
+    baskets = merged_files.groupBy("number").agg(F.collect_set("path").alias("files")).where(F.size("files").between(*BASKET)).select("files")
+    population = baskets.agg(F.count("*").alias("population"))
+    support = baskets.select(F.explode("files").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    pairs = baskets.select("files", F.explode("files").alias("fa"))
+    if of is not None:
+        pairs = pairs.join(small(of.select(F.col("path").alias("fa")).distinct()), "fa", "left_semi")
+    pairs = pairs.select("fa", F.explode("files").alias("fb")).where("fa <> fb").groupBy("fa", "fb").agg(F.count("*").alias("support"))
     pairs = pairs.join(support.select(F.col("path").alias("fa"), F.col("n").alias("na")), "fa").join(support.select(F.col("path").alias("fb"), F.col("n").alias("nb")), "fb")
     hub = hubs.select("path", F.lit(True).alias("hub"))
     pairs = pairs.join(hub.withColumnsRenamed({"path": "fa", "hub": "hub_a"}), "fa", "left").join(hub.withColumnsRenamed({"path": "fb", "hub": "hub_b"}), "fb", "left").join(F.broadcast(population))
@@ -44,10 +47,27 @@ def coupled(merged_files: DataFrame, hubs: DataFrame) -> DataFrame:
     return pairs.select("fa", "fb", "support", "na", "nb", (lifted & (~some | (F.col("support") >= HUB_SUPPORT))).alias("anchors"))
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """Keys to be joined by broadcast if they are FEW. Counts them, so it's for what is quickly read."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
+def reached(asked: DataFrame, paths: DataFrame, signatures: DataFrame, neighbours: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(number) of asked(number) and of all items that an anchor can pair with one: no other item has an admitted pair. pairs is coupled's table of the files of asked."""
+    few = small(asked.distinct())
+    held = lambda rows, c: rows.join(few, "number", "left_semi").select(c)
+    files = cut(held(paths, "path").unionByName(pairs.where("anchors").select(F.col("fb").alias("path"))).distinct(), "reached-files")
+    met = [asked, paths.join(small(files), "path", "left_semi")]
+    met += [rows.join(held(rows, c).distinct(), c, "left_semi") for rows, c in ((signatures, "signature"), (neighbours, "other"))]
+    return reduce(DataFrame.unionByName, [m.select("number") for m in met]).distinct()
+
+
 def hub_files(merged_files: DataFrame, items: DataFrame, share: float = HUB_SHARE) -> DataFrame:
     """(path): files that at least such a share of merged pull requests touch; 1 / share of them at most per file of a request."""
     total = items.where("kind = 'pr' and merged is not null").agg(F.count("*").alias("total"))
-    return merged_files.groupBy("path").agg(F.countDistinct("number").alias("n")).join(F.broadcast(total)).where(F.col("n") >= share * F.col("total")).select("path")
+    rows = merged_files.select("number", "path")
+    often = rows.groupBy("path").agg(F.count("*").alias("n")).join(F.broadcast(total)).where(F.col("n") >= share * F.col("total")).select("path", "total")  # the same number twice counts too
+    return rows.join(F.broadcast(often), "path").groupBy("path", "total").agg(F.countDistinct("number").alias("n")).where(F.col("n") >= share * F.col("total")).select("path")
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -79,24 +99,24 @@ def vocabulary(items: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "part").select("word", "df", "part", (F.col("before") + F.col("at") - F.col("least")).cast("int").alias("id"), "idf")
 
 
-def numbered(profiles_: DataFrame, items: DataFrame, words: DataFrame) -> DataFrame:
-    """profiles with the items' words as an array of id * 2, plus 1 in the title, and idf, the sum over all words. The HOT commonest words are joined by broadcast."""
+def numbered(profiles_: DataFrame, own: DataFrame, words: DataFrame, items: DataFrame) -> DataFrame:
+    """profiles with their own items' words as an array of id * 2, plus 1 in the title, and idf, the sum over all words. The HOT commonest words are joined by broadcast."""
     counts = words.agg(*[F.count_if(F.col("df") >= 2**k).alias(f"n{k}") for k in range(1, 40)]).first()
     least = next(2**k for k in range(1, 40) if counts[f"n{k}"] <= HOT)
-    each = item_words(items).select("number", F.explode("words").alias("word"), F.array_contains("title_words", F.col("word")).alias("titled"))
+    each = item_words(own).select("number", F.explode("words").alias("word"), F.array_contains("title_words", F.col("word")).alias("titled"))
     common, rare = (words.where(x).select("word", "id", "idf") for x in (F.col("df") >= least, F.col("df") < least))
     found = each.join(F.broadcast(common), "word").unionByName(each.join(F.broadcast(common.select("word")), "word", "left_anti").join(rare, "word"))
-    own = found.groupBy("number").agg(F.collect_list((F.col("id") * 2 + F.col("titled").cast("int")).cast("int")).alias("codes"), F.sum("idf").alias("idf"))
+    coded = found.groupBy("number").agg(F.collect_list((F.col("id") * 2 + F.col("titled").cast("int")).cast("int")).alias("codes"), F.sum("idf").alias("idf"))
     total = items.agg(F.log(1 + F.count("*")).alias("alone"))
-    rows = profiles_.join(own, "number", "left").join(F.broadcast(total)).withColumn("codes", F.array_sort(F.coalesce("codes", F.array().cast("array<int>"))))
+    rows = profiles_.join(coded, "number", "left").join(F.broadcast(total)).withColumn("codes", F.array_sort(F.coalesce("codes", F.array().cast("array<int>"))))
     alone = (F.col("n_words") - F.size("codes")) * F.col("alone")  # a word that no other item holds
     return rows.select(*profiles_.columns, F.col("codes").alias("words"), (F.coalesce("idf", F.lit(0.0)) + alone).alias("idf"))
 
 
-def scored(asked: DataFrame, all_: DataFrame, items: DataFrame, pairs: DataFrame, best: int | None = None, every: bool = False) -> DataFrame:
+def scored(asked: DataFrame, all_: DataFrame, items: DataFrame, pairs: DataFrame, best: int | None = None, every: bool = False, own: DataFrame | None = None) -> DataFrame:
     """(a, b, signals, share, lifted) of the admitted pairs of asked(number) with all_, profiles of items; pairs is coupled's table.
 
-    best leaves out pairs that can't be among so many best of their a by total; every gives all pairs, admitted or not.
+    Where all_ is a part of items, own holds at least the items of that part; words weigh by all items. best leaves out pairs that can't be among so many best of their a by total; every gives all pairs, admitted or not.
     """
     with_signature = F.size("signatures") > 0
     sized = all_.groupBy(with_signature.alias("s")).agg(F.sum("n_words").alias("words"), F.count("*").alias("n")).collect()
@@ -106,7 +126,7 @@ def scored(asked: DataFrame, all_: DataFrame, items: DataFrame, pairs: DataFrame
     words = vocabulary(items)
     to = all_.select("number", "paths").join(asked.select("number").distinct(), "number", "left_semi").select("number", F.explode("paths").alias("fa")).join(pairs, "fa")
     to = to.groupBy("number", "fb").agg(F.max(F.col("support") / F.greatest("na", "nb")).alias("by"), F.max("anchors").alias("up")).groupBy("number").agg(F.collect_list(F.struct("fb", "by", "up")).alias("moved"))
-    rows = numbered(all_, items, words).join(asked.select("number", F.lit(True).alias("asks")).distinct(), "number", "left").join(to, "number", "left")
+    rows = numbered(all_, own or items, words, items).join(asked.select("number", F.lit(True).alias("asks")).distinct(), "number", "left").join(to, "number", "left")
     own_tasks = F.when(with_signature, F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda c: F.pmod(F.hash("number"), F.lit(n_signed)) * SPLIT + c)).otherwise(F.array(n_signed * SPLIT + F.pmod(F.hash("number"), F.lit(n_rest))))
     share = F.pmod(F.xxhash64("number"), F.lit(SPLIT)).cast("int")
     asks = F.concat(F.transform(F.sequence(F.lit(0), F.lit(n_signed - 1)), lambda b: b * SPLIT + share), F.sequence(F.lit(n_signed * SPLIT), F.lit(tasks - 1)))

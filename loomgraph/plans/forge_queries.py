@@ -400,23 +400,32 @@ def triage_page(spark, sf_dir):
 
 
 def _evidence(f: Forge) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(merged files, paths that issues name, files of items, error signatures, neighbours)."""
-    merged = I.merged_files(f.pr_files, f.items)
+    """(merged files, paths that issues name, files of items, error signatures, neighbours), from what is written once."""
+    merged = f.items.where("kind = 'pr' and merged is not null").select("number", F.lit(True).alias("merged"))
+    touched = f.pr_files.where(I.kept(F.col("status"))).groupBy("number").agg(F.collect_set("path").alias("paths"))
+    touched = cut(touched.join(merged, "number", "left"), "kept-files")
+    named = cut(_paths(f), "similar-named")
     fenced = f.items.where(F.col("body").contains("```"))
     signatures = fenced.select("number", F.explode(X.signatures(F.col("body"))).alias("s")).select("number", F.concat_ws("|", "s.exception", "s.line").alias("signature"))
-    ends = T3.item_edges(_edges(f).where("rel <> 'reverts'"), ("mentions", "branch_ref", "blocked_by", "child_of"))
+    ends = cut(T3.item_edges(_edges(f).where("rel <> 'reverts'"), ("mentions", "branch_ref", "blocked_by", "child_of")), "item-ends")
     neighbours = ends.select(F.col("a").alias("number"), F.col("b").alias("other")).unionByName(ends.select(F.col("b").alias("number"), F.col("a").alias("other")))
-    named = cut(_paths(f), "similar-named")
-    return merged, named, named.unionByName(f.pr_files.where(I.kept(F.col("status"))).select("number", "path")), signatures, neighbours
+    files = touched.select("number", "merged", F.explode("paths").alias("path"))
+    return files.where("merged").select("number", I.normal_path(F.col("path")).alias("path")), named, named.unionByName(files.select("number", "path")), cut(signatures, "item-signatures"), neighbours
 
 
 def _similar(f: Forge, best: int | None = None) -> DataFrame:
-    """Scores of issues that name files or errors with all items; profiles and co-changed files are written once."""
+    """Scores of issues that name files or errors with all items; profiles, of the items that an anchor reaches, and co-changed files are written once."""
     merged, named, paths, signatures, neighbours = _evidence(f)
     hubs = cut(Y.hub_files(merged, f.items), "similar-hubs")
-    rows = cut(Y.profiles(f.items, f.labels, paths, signatures, neighbours, hubs), "similar-profiles")
-    asked = named.select("number").unionByName(rows.where("size(signatures) > 0").select("number"))
-    return Y.scored(asked, rows, f.items, cut(Y.coupled(merged, hubs), "similar-coupled"), best)
+    asked = cut(named.select("number").unionByName(signatures.select("number")).distinct(), "asked-items")
+    own_files = cut(paths.join(Y.small(asked), "number", "left_semi").select("path").distinct(), "asked-files")
+    pairs = cut(Y.coupled(merged, hubs, own_files), "similar-coupled")
+    near = cut(Y.reached(asked, paths, signatures, neighbours, pairs), "reached-items")
+    few = near.count() <= Y.FEW
+    part = lambda rows: rows.join(F.broadcast(near) if few else near, "number", "left_semi")
+    items = part(f.items) if few else f.items  # texts are not shuffled; an item that is not reached has no features then
+    rows = cut(Y.profiles(items, *[part(t) for t in (f.labels, paths, signatures, neighbours)], hubs), "similar-profiles")
+    return Y.scored(asked, rows, f.items, pairs, best, own=items)
 
 
 _SIMILAR = REFS + _ISSUE_PATHS + """
@@ -638,7 +647,8 @@ def bundles(spark, sf_dir):
     merged, _, paths, signatures, neighbours = _evidence(f)
     hubs = cut(Y.hub_files(merged, f.items), "bundle-hubs")
     own = cut(Y.profiles(*[t.where(pool) for t in (f.items, f.labels, paths, signatures, neighbours)], hubs), "bundle-profiles")
-    scored = cut(U.pool_pairs(own, f.items, cut(Y.coupled(merged, hubs), "bundle-coupled")), "bundle-pairs")
+    coupled = cut(Y.coupled(merged, hubs, paths.where(pool).select("path")), "bundle-coupled")
+    scored = cut(U.pool_pairs(own, f.items, coupled, f.items.where(pool)), "bundle-pairs")
     pairs = U.judged(scored)
     files = {r["number"]: frozenset(r["paths"]) for r in own.select("number", "paths").collect()}
     found = U.grow([U.Member(n, s, files.get(n, frozenset())) for n, s in top], pairs, U.merge_candidates(pairs), {r["path"] for r in hubs.collect()}, U.Rules(floor=0.5))

@@ -57,3 +57,32 @@ def test_every_pair_of_a_pool(spark):
     got = {(r.a, r.b): r for r in U.pool_pairs(own, items, pairs).collect()}
     alpha, alone = np.log(1 + 4 / 3), np.log(1 + 4)
     assert set(got) == {(1, 2), (1, 3), (2, 3)} and abs(got[1, 2].lexical - alpha / (alpha + 2 * alone)) < 1e-12 and got[1, 3].lexical == 0
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_only_what_anchors_reach(spark, few, monkeypatch):
+    """Items without a signature, neighbour, file or co-changed file of an asked one are not reached; only the asked files' pairs are counted."""
+    monkeypatch.setattr(Y, "FEW", few)
+    merged = spark.createDataFrame([(10, "a"), (10, "b"), (11, "b"), (11, "c"), (12, "x"), (12, "y"), (13, "z"), (14, "q"), (14, "p")], "number long, path string")
+    hubs = spark.createDataFrame([], "path string")
+    pairs = Y.coupled(merged, hubs, spark.createDataFrame([("a",), ("a",)], "path string"))
+    assert [(r.fa, r.fb, r.support, r.na, r.nb, r.anchors) for r in pairs.collect()] == [("a", "b", 1, 1, 2, True)]
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in Y.coupled(merged, hubs).where("fa = 'a'").collect()}
+    paths = merged.unionByName(spark.createDataFrame([(1, "a")], "number long, path string"))
+    signatures = spark.createDataFrame([(1, "E"), (20, "E"), (21, "F")], "number long, signature string")
+    neighbours = spark.createDataFrame([(1, 30), (30, 1), (31, 30), (30, 31), (32, 33), (33, 32)], "number long, other long")
+    asked = spark.createDataFrame([(1,)], "number long")
+    assert sorted(r.number for r in Y.reached(asked, paths, signatures, neighbours, pairs).collect()) == [1, 10, 11, 20, 31]
+
+
+def test_equal_texts_are_read_once(spark):
+    """An extractor runs once for equal rows of a batch, and gives every row its own."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.functions import extract as X
+
+    runs = spark.sparkContext.accumulator(0)
+    f = lambda text: (runs.add(1), None if text is None else [int(x) for x in text.split()])[1]
+    rows = spark.range(0, 90, 1, 1).select("id", F.when(F.col("id") % 3 < 2, F.concat(F.lit("7 "), (F.col("id") % 3).cast("string"))).alias("t"))
+    got = rows.select("id", X._column("array<long>", f, F.col("t")).alias("x")).collect()
+    assert all(r.x == (None if r.id % 3 == 2 else [7, r.id % 3]) for r in got) and len(got) == 90 and runs.value == 3
