@@ -24,32 +24,40 @@ def row(df: DataFrame, src_type: str, src: Column, rel, dst_type: str, dst: Colu
     return df.select(*[v.alias(c) for v, c in zip(values, COLUMNS, strict=True)])
 
 
+def marked_references(texts: DataFrame, *more: str) -> DataFrame:
+    """texts(repo, number, part, rank, text, more) -> (.., kind, ref, at) for every text and number it refers to."""
+    marked = texts.where(F.col("text").contains("#") | F.lower("text").contains("http"))
+    found = marked.select("repo", "number", "part", "rank", *more, F.explode(X.references(F.col("text"), F.col("repo"))).alias("r"))
+    return found.select("repo", "number", "part", "rank", *more, F.col("r.kind").alias("kind"), F.col("r.number").alias("ref"), F.col("r.at").alias("at"))
+
+
 def text_references(texts: DataFrame) -> DataFrame:
     """texts(repo, number, part, rank, text) -> (.., kind, ref, part, at): of every kind and number the first place, by rank and offset.
 
     Only texts that hold a `#` or a link leave the JVM.
     """
-    marked = texts.where(F.col("text").contains("#") | F.lower("text").contains("http"))
-    found = marked.select("repo", "number", "part", "rank", F.explode(X.references(F.col("text"), F.col("repo"))).alias("r"))
-    first = found.groupBy("repo", "number", F.col("r.kind").alias("kind"), F.col("r.number").alias("ref")).agg(F.min(F.struct("rank", F.col("r.at").alias("at"), "part")).alias("first"))
+    first = marked_references(texts).groupBy("repo", "number", "kind", "ref").agg(F.min(F.struct("rank", "at", "part")).alias("first"))
     return first.select("repo", "number", "kind", "ref", "first.part", "first.at")
 
 
-def item_texts(items: DataFrame) -> DataFrame:
-    title = items.select("repo", "number", F.lit("title").alias("part"), F.lit(0).alias("rank"), F.col("title").alias("text"))
-    return title.unionByName(items.select("repo", "number", F.lit("body").alias("part"), F.lit(1).alias("rank"), F.col("body").alias("text")))
+def item_texts(items: DataFrame, *more: str) -> DataFrame:
+    title = items.select("repo", "number", *more, F.lit("title").alias("part"), F.lit(0).alias("rank"), F.col("title").alias("text"))
+    return title.unionByName(items.select("repo", "number", *more, F.lit("body").alias("part"), F.lit(1).alias("rank"), F.col("body").alias("text")))
 
 
 def keyword_edges(items: DataFrame) -> DataFrame:
     """What items' titles and bodies say. Only a pull request's body closes; what it closes it doesn't also mention."""
-    pulls = items.where("kind = 'pr'").select("repo", "number")
-    body_closes = text_references(item_texts(items.where("kind = 'pr'")).where("part = 'body'")).where("kind = 'closes'").join(pulls, ["repo", "number"], "left_semi")
-    others = text_references(item_texts(items)).where("kind <> 'closes'")
-    others = others.join(body_closes.select("repo", "number", "ref", F.lit("mentions").alias("kind")), ["repo", "number", "ref", "kind"], "left_anti")
+    texts = item_texts(items.withColumn("pull", F.col("kind") == "pr"), "pull")
+    found = marked_references(texts, "pull").where("kind <> 'closes' or (pull and part = 'body')")
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("rank", "at", "part"))).alias(kind)
+    found = found.groupBy("repo", "number", "ref").agg(*[first(k) for k in ("closes", "mentions", "duplicates")])  # texts are read once
+    said = lambda kind: F.when(F.col(kind).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}.at").alias("at"), F.col(f"{kind}.part").alias("part")))
+    said = F.array(F.coalesce(said("closes"), said("mentions")), said("duplicates"))
+    found = found.select("repo", "number", "ref", F.explode(said).alias("s")).where("s is not null").select("repo", "number", "ref", "s.*")
     place = F.when(F.col("part") == "title", "title").otherwise(F.concat("part", F.lit("@"), "at"))
     edge = lambda df, rel, evidence: row(df.where("ref <> number"), "item", F.col("number"), rel, "item", F.col("ref"), evidence, "keyword")
-    kinds = F.when(F.col("kind") == "mentions", "mentions").otherwise("duplicate_keyword")
-    return edge(body_closes, "closes_keyword", F.concat(place, F.lit(" closing keyword"))).unionByName(edge(others, kinds, place))
+    kinds = F.when(F.col("kind") == "closes", "closes_keyword").when(F.col("kind") == "mentions", "mentions").otherwise("duplicate_keyword")
+    return edge(found, kinds, F.concat(place, F.when(F.col("kind") == "closes", " closing keyword").otherwise("")))
 
 
 def comment_edges(comments: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ HUB_SHARE, HUB_FLOOR, LEAST_SHARE, HUB_SUPPORT, BASKET, NEAR_DAYS = 0.5, 0.25, 0
 #: joined by broadcast. Only speed, memory and disk depend on them.
 BLOCK_WORDS, BLOCK_ITEMS, SPLIT, SPREAD, HOT = {True: 3_000_000, False: 10_000_000}, 200_000, 6, 4, 150_000
 #: Keys (numbers of items, paths) of a semi-join by broadcast, at most; beyond, they are shuffled. Only speed depends on it.
-FEW = 1_000_000
+FEW = 4_000_000
 
 
 def coupled(merged_files: DataFrame, hubs: DataFrame, of: DataFrame | None = None) -> DataFrame:

@@ -86,3 +86,13 @@ def test_equal_texts_are_read_once(spark):
     rows = spark.range(0, 90, 1, 1).select("id", F.when(F.col("id") % 3 < 2, F.concat(F.lit("7 "), (F.col("id") % 3).cast("string"))).alias("t"))
     got = rows.select("id", X._column("array<long>", f, F.col("t")).alias("x")).collect()
     assert all(r.x == (None if r.id % 3 == 2 else [7, r.id % 3]) for r in got) and len(got) == 90 and runs.value == 3
+
+
+def test_keyword_edges_read_texts_once(spark):
+    """Titles and bodies are read by one extraction; a closing word counts in a pull request's body only, and what it closes isn't mentioned too."""
+    from loomgraph.operators import edges as E
+
+    items = spark.createDataFrame([("o/r", 2, "pr", "see #5", "fixes #5, #7"), ("o/r", 4, "pr", "fixes #9", "#11 duplicate of #11"), ("o/r", 6, "issue", "t", "fixes #9"), ("o/r", 8, "issue", None, "#8")], "repo string, number long, kind string, title string, body string")
+    found = E.keyword_edges(items)
+    assert {(r.src, r.rel, r.dst, r.evidence) for r in found.collect()} == {("2", "closes_keyword", "5", "body@6 closing keyword"), ("2", "mentions", "7", "body@10"), ("4", "mentions", "9", "title"), ("4", "mentions", "11", "body@0"), ("4", "duplicate_keyword", "11", "body@17"), ("6", "mentions", "9", "body@6")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
