@@ -26,8 +26,9 @@ HUB_SHARE, HUB_FLOOR, LEAST_SHARE, HUB_SUPPORT, BASKET, NEAR_DAYS = 0.5, 0.25, 0
 #: Words and items of a block (with signatures or not), parts of the asked items for blocks with signatures, partitions a task, words
 #: joined by broadcast. Only speed, memory and disk depend on them.
 BLOCK_WORDS, BLOCK_ITEMS, SPLIT, SPREAD, HOT = {True: 3_000_000, False: 10_000_000}, 200_000, 6, 4, 150_000
-#: Keys (numbers of items, paths) of a semi-join by broadcast, at most; beyond, they are shuffled. Only speed depends on it.
-FEW = 4_000_000
+#: Keys (numbers of items, paths) of a semi-join by broadcast, at most, and reached items (16 bytes or so each); beyond, they are
+#: shuffled. Only speed and memory depend on them.
+FEW, NEAR = 500_000, 4_000_000
 
 
 def coupled(merged_files: DataFrame, hubs: DataFrame, of: DataFrame | None = None) -> DataFrame:

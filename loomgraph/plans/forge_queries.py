@@ -421,7 +421,7 @@ def _similar(f: Forge, best: int | None = None) -> DataFrame:
     own_files = cut(paths.join(Y.small(asked), "number", "left_semi").select("path").distinct(), "asked-files")
     pairs = cut(Y.coupled(merged, hubs, own_files), "similar-coupled")
     near = cut(Y.reached(asked, paths, signatures, neighbours, pairs), "reached-items")
-    few = near.count() <= Y.FEW
+    few = near.count() <= Y.NEAR
     part = lambda rows: rows.join(F.broadcast(near) if few else near, "number", "left_semi")
     items = part(f.items) if few else f.items  # texts are not shuffled; an item that is not reached has no features then
     rows = cut(Y.profiles(items, *[part(t) for t in (f.labels, paths, signatures, neighbours)], hubs), "similar-profiles")
